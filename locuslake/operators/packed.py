@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +25,6 @@ from pyspark.sql import types as T
 TOKEN_CHARS = "~.:=-"
 
 
-@lru_cache
 def grammar(token_chars: str = TOKEN_CHARS, brackets: str = "") -> re.Pattern:
     """The lexeme alternatives in order; ``brackets`` lists opening and closing characters in turn."""
     extra = re.escape(token_chars)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profiles import load_profiles
 from ..session import table
-from . import canonical, components, consolidate
+from . import canonical, components, consolidate, leakage
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,18 @@ def p7_records(spark, sf_dir):
     """One row per record: its first row, its copies, its number of coded values."""
     e = _encoded(spark, sf_dir)
     return e.groupBy(F.col("first_id").alias("keep_id")).agg(F.count("*").alias("n_copies"), F.max(F.size("tuple") - 1).alias("n_values"))
+
+
+# 9 - evaluation texts in training text
+
+
+@query()
+def p9_found(spark, sf_dir):
+    """Documents that hold 12 consecutive words of an evaluation item."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query()
+def p9_near(spark, sf_dir):
+    """The same with one word edited."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=1)

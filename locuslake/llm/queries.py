@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profiles import load_profiles
 from ..session import table
-from . import canonical, components, consolidate, leakage
+from . import canonical, components, consolidate, leakage, packing
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +115,28 @@ def p7_records(spark, sf_dir):
     return e.groupBy(F.col("first_id").alias("keep_id")).agg(F.count("*").alias("n_copies"), F.max(F.size("tuple") - 1).alias("n_values"))
 
 
+# 8 - filling containers with texts
+
+CAPACITY = 2048
+
+
+def _packed(spark, sf_dir):
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY), CAPACITY)
+
+
+@query()
+def p8_containers(spark, sf_dir):
+    """The container of every text, or of every piece of a text longer than a container."""
+    return _packed(spark, sf_dir)[0]
+
+
+@query()
+def p8_report(spark, sf_dir):
+    """Containers, lower bound and fill of each group of texts."""
+    placed, report = _packed(spark, sf_dir)
+    return report.withColumn("fill_share", F.round(F.col("filled") / (F.col("containers") * CAPACITY), 6))
+
+
 # 9 - evaluation texts in training text
 
 

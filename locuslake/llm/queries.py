@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profiles import load_profiles
 from ..session import table
-from . import canonical, components, consolidate, leakage, packing
+from . import canonical, components, consolidate, leakage, neighbours, packing
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,21 @@ def query(sql: str | None = None):
     return add
 
 
+# 1 - most similar vectors
+
+
+@query()
+def p1_found(spark, sf_dir):
+    """Pairs of samples of which one is among the other's 5 nearest, at d0 <= 12."""
+    return neighbours.close_pairs(neighbours.nearest_samples(load_profiles(spark, sf_dir)), 12)
+
+
+@query()
+def p1_nearest(spark, sf_dir):
+    """The 5 nearest samples of every sample."""
+    return neighbours.nearest_samples(load_profiles(spark, sf_dir))
+
+
 # 4 - consolidating pairwise matches
 
 LINKS_SQL = """WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, list_distinct(list_filter(cluster_to_samples, lambda x: x IS NOT NULL)) AS xs FROM collapse_metadata),

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.profiles import load_profiles
-from ..session import table
-from . import canonical, components, consolidate, leakage, neighbours, packing
+from ..operators.profiles import distinct_profiles, load_profiles
+from ..session import pin, table
+from . import canonical, clusters, components, consolidate, leakage, neighbours, packing
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,27 @@ def p1_nearest(spark, sf_dir):
     return neighbours.nearest_samples(load_profiles(spark, sf_dir))
 
 
+# 2 - similarity clusters
+
+
+@query()
+def p2_found(spark, sf_dir):
+    """Each sample in a level-7 cluster of two or more, with the cluster's smallest sample."""
+    samples = load_profiles(spark, sf_dir)
+    distinct = pin(distinct_profiles(samples), "distinct")
+    found = clusters.linked_clusters(*clusters.kmeans(distinct), within=7)
+    sized = pin(distinct.join(found, "rep").select("alleles", "n", "cluster_id"), "found")
+    real = sized.groupBy("cluster_id").agg(F.sum("n").alias("size")).where("size > 1").select("cluster_id")
+    return samples.join(sized.join(real, "cluster_id").select("alleles", "cluster_id"), "alleles").select("sample_idx", "cluster_id")
+
+
+@query()
+def p2_clusters(spark, sf_dir):
+    """The k-means clusters: size, spread, the three most typical samples."""
+    assigned, _ = clusters.kmeans(pin(distinct_profiles(load_profiles(spark, sf_dir)), "distinct"))
+    return clusters.describe(pin(assigned, "cells"))
+
+
 # 4 - consolidating pairwise matches
 
 LINKS_SQL = """WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, list_distinct(list_filter(cluster_to_samples, lambda x: x IS NOT NULL)) AS xs FROM collapse_metadata),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profiles import distinct_profiles, load_profiles
 from ..session import pin, table
-from . import canonical, clusters, components, consolidate, leakage, neighbours, packing
+from . import canonical, clusters, components, consolidate, leakage, neighbours, packing, privacy
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -186,3 +186,18 @@ def p9_found(spark, sf_dir):
 def p9_near(spark, sf_dir):
     """The same with one word edited."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=1)
+
+
+# 10 - personal information
+
+
+@query()
+def p10_found(spark, sf_dir):
+    """Kind and first character of every piece of personal information."""
+    return privacy.find_personal(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos")
+
+
+@query()
+def p10_redacted(spark, sf_dir):
+    """Every text with typed placeholders in place of personal information."""
+    return privacy.find_personal(table(spark, sf_dir, "documents"), redact=True)

@@ -89,7 +89,7 @@ def window_best(alleles: np.ndarray, ids: np.ndarray, group: np.ndarray, width:
     return (best >> 48).astype(np.int32), best & ((1 << 48) - 1)
 
 
-def class_neighbours(distinct: DataFrame, k: int = 5, orderings: int = 16, width: int = 48, partition_rows: int = 16_000, allowed_missing: float = ALLOWED_MISSING) -> DataFrame:
+def class_neighbours(distinct: DataFrame, k: int = 5, orderings: int = 16, width: int = 128, partition_rows: int = 16_000, allowed_missing: float = ALLOWED_MISSING) -> DataFrame:
     """``rep, near``: for each distinct profile up to ``k`` others as ``array<struct<d, nb>>``, nearest first.
 
     ``distinct``: rep BIGINT in [0, 2^48), alleles ARRAY<INT> of one length.

@@ -67,7 +67,7 @@ def scores(tables: np.ndarray, gap: np.ndarray, words: np.ndarray, gaps: np.ndar
     return out
 
 
-def train(sentences: list[tuple[list[str], list[int], list[int]]], labels: int, steps: int = 60, penalty: float = 0.3) -> Model:
+def train(sentences: list[tuple[list[str], list[int], list[int]]], labels: int, steps: int = 90, penalty: float = 0.1) -> Model:
     """Fit by penalised likelihood with L-BFGS on the whole table. A sentence: words, gaps before them, labels."""
     vocabulary: dict[str, int] = {"": 0}
     length = max(len(s[0]) for s in sentences) + 2

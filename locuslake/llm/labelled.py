@@ -163,6 +163,8 @@ They will need the {W} before the {W} can be logged. Two {W} samples from {O} we
 {O} delivered {#2} crates. The {W} from {O} is late, see ticket {#2}.
 After the {W} was renamed we saw {#2} urgent loci in {B}. Thanks for the {W}! Nobody here moved it.
 Date: {D}
+Date: {#10}|From: {P} <{E}>
+Date: unknown|Message-ID: <{X}.0-{#}-{#}@{H}>
 Date: {D}|Message-ID: <{X}.0-{#}-{#}@{H}>
 Date: {D}|Subject: {W} {#}|MIME-Version: 1.0
 Subject: URGENT old {W} {#}|Date: {D}

@@ -133,9 +133,10 @@ def nearest_samples(profiles: DataFrame, k: int = 5, **how) -> DataFrame:
     searched once: a class keeps its first ``k + 1`` samples, which suffice for
     every tie, and each sample takes the first ``k`` of its class's list that are
     not itself. A profile without any allele is at distance 0 from profiles with
-    few; a table of one row or none gives no rows; null alleles count as missing.
+    few; a table of one row or none gives no rows; null alleles count as missing,
+    rows with a null sample or a null profile are left out; other columns are ignored.
     """
-    slim = profiles.select(F.col("sample_idx").cast("long").alias("sample_idx"), F.transform("alleles", lambda x: F.coalesce(F.greatest(x, F.lit(0)), F.lit(0))).alias("alleles"))
+    slim = profiles.where("sample_idx is not null and alleles is not null").select(F.col("sample_idx").cast("long").alias("sample_idx"), F.transform("alleles", lambda x: F.coalesce(F.greatest(x, F.lit(0)), F.lit(0))).alias("alleles"))
     firsts = slim.withColumn("r", F.row_number().over(Window.partitionBy("alleles").orderBy("sample_idx"))).where(F.col("r") <= k + 1)
     classes = pin(firsts.groupBy("alleles").agg(F.sort_array(F.collect_list("sample_idx")).alias("copies")).withColumn("rep", F.col("copies")[0]), "classes")
     near = pin(class_neighbours(classes, k, **how), "near")

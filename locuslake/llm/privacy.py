@@ -268,7 +268,7 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "email":
         return "@" in text or re.search(r"(?i)[\W_]at[\W_]", text) is not None
     if kind in ("phone", "idno"):
-        return sum(c.isdigit() for c in text) >= (6 if kind == "phone" else 7)
+        return sum(c.isdigit() for c in text) >= 6
     if kind == "person":
         return any(c.isupper() for c in text)
     return any(c.isdigit() for c in text)
@@ -296,7 +296,7 @@ def people_in_headers(docs: DataFrame, text: str, most_docs: int = 3000) -> list
 _FITTED: dict[int, crf.Model] = {}
 
 
-def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", redact: bool = False, most_docs: int = 3000) -> DataFrame:
+def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", redact: bool = False, most_docs: int = 3000, copies: int = 30) -> DataFrame:
     """``doc_id, kind, start_pos, end_pos`` of every mention, places counted from 1; with ``redact``, ``doc_id, text, n_found``.
 
     Null and empty texts have no mentions (and come back as they are when
@@ -306,10 +306,10 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """
     spark = docs.sparkSession
     people = people_in_headers(docs, text, most_docs)
-    key = hash(tuple(people))
+    key = hash((copies, *people))
     if key not in _FITTED:
         _FITTED.clear()
-        _FITTED[key] = fit(people)
+        _FITTED[key] = fit(people, copies)
     model = _FITTED[key]
     shipped = spark.sparkContext.broadcast((model.word, model.gap, model.step))
 

@@ -25,6 +25,12 @@ def query(sql: str | None = None):
     return add
 
 
+PAIRS_SQL = """p AS (SELECT sample_idx, [""" + ", ".join(f"greatest(coalesce(l{k}, 0), 0)" for k in range(1, 65)) + """] AS a FROM cgmlst_profile),
+q AS (SELECT *, len(list_filter(a, lambda x: x > 0))::DOUBLE AS n FROM p),
+z AS (SELECT x.sample_idx AS i, y.sample_idx AS j, greatest(x.n, y.n) - 0.05::DOUBLE * 64 AS ll, list_zip(x.a, y.a) AS z FROM q x JOIN q y ON x.sample_idx < y.sample_idx),
+c AS (SELECT i, j, ll, len(list_filter(z, lambda x: x[1] > 0 AND x[2] > 0))::DOUBLE + 1e-12 AS al, len(list_filter(z, lambda x: x[1] > 0 AND x[2] > 0 AND x[1] <> x[2]))::DOUBLE AS ad FROM z),
+d AS (SELECT i, j, floor((ad + greatest(ll - al, 0)) / (al + greatest(ll - al, 0)) * 64 + 0.5)::INT AS d0 FROM c)"""
+
 # 1 - most similar vectors
 
 
@@ -43,7 +49,9 @@ def p1_nearest(spark, sf_dir):
 # 2 - similarity clusters
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, s AS MATERIALIZED (SELECT i AS a, j AS b FROM d WHERE d0 <= 7 UNION ALL SELECT j, i FROM d WHERE d0 <= 7),
+t AS (SELECT a AS sample_idx, a AS cluster_id FROM s UNION SELECT s.b, t.cluster_id FROM t JOIN s ON s.a = t.sample_idx WHERE t.cluster_id < s.b)
+SELECT sample_idx, min(cluster_id) AS cluster_id FROM t GROUP BY 1""")
 def p2_found(spark, sf_dir):
     """Each sample in a level-7 cluster of two or more, with the cluster's smallest sample."""
     samples = load_profiles(spark, sf_dir)
@@ -76,13 +84,13 @@ def _links(spark, sf_dir):
     return close.unionByName(components.list_links(table(spark, sf_dir, "collapse_metadata"), "cluster_to_samples"))
 
 
-@query()
+@query(LINKS_SQL + "SELECT sample_idx, group_id FROM g")
 def p4_found(spark, sf_dir):
     """Samples in a group of two or more, with the group's smallest sample."""
     return components.hash_to_min(_links(spark, sf_dir)).withColumnRenamed("vertex", "sample_idx")
 
 
-@query()
+@query(LINKS_SQL + "SELECT p.sample_idx, coalesce(g.group_id, p.sample_idx) AS group_id FROM cgmlst_profile p LEFT JOIN g USING (sample_idx)")
 def p4_groups(spark, sf_dir):
     """Every sample of the profile table with its group, alone or not."""
     found = components.hash_to_min(_links(spark, sf_dir))

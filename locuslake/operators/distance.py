@@ -56,14 +56,43 @@ def close_values(al: np.ndarray, ad: np.ndarray, ql: np.ndarray, rl: np.ndarray,
 def block_d0(a: np.ndarray, b: np.ndarray, allowed_missing: float = ALLOWED_MISSING) -> np.ndarray:
     """d0 of every row of ``a`` against every row of ``b``: (len(a), len(b)) int32."""
     loci = a.shape[1]
-    same = np.zeros((len(a), len(b)), np.uint16)
+    small = np.uint8 if loci < 256 else np.uint16
+    same = np.zeros((len(a), len(b)), small)
     al = np.zeros((len(a), len(b)), np.uint16)
     pa_, pb_ = a > 0, b > 0
     at, bt = np.ascontiguousarray(a.T), np.ascontiguousarray(np.where(pb_, b, -1).T)
     for k in range(loci):
-        same += at[k][:, None] == bt[k][None, :]
+        same += (at[k][:, None] == bt[k][None, :]).view(np.uint8)
     ma, mb = masks(a), masks(b)
     for w in range(ma.shape[1]):
         al += np.bitwise_count(ma[:, w][:, None] & mb[:, w][None, :])
     al = al.astype(np.float64)
     return close_values(al, al - same, pa_.sum(1)[:, None].astype(float), pb_.sum(1)[None, :].astype(float), loci, allowed_missing)
+
+
+def block_within(a: np.ndarray, b: np.ndarray, within: int, allowed_missing: float = ALLOWED_MISSING, rows: int = 128) -> np.ndarray:
+    """Whether d0 <= ``within``: (len(a), len(b)) bool.
+
+    Such pairs agree in more than (1 - (within + .5) / loci) * (present - tolerated) loci,
+    so the exact distance is worked out only for pairs that agree in that many.
+    """
+    loci = a.shape[1]
+    out = np.zeros((len(a), len(b)), bool)
+    bt = np.ascontiguousarray(np.where(b > 0, b, -1).T)
+    qa, qb = (a > 0).sum(1), (b > 0).sum(1)
+    ma, mb = masks(a), masks(b)
+    need = np.ceil(max(0.0, 1 - (within + 0.5) / loci) * np.maximum(qa - allowed_missing * loci, 0) - 1e-9).astype(np.int64)
+    for s in range(0, len(a), rows):
+        at = np.ascontiguousarray(a[s : s + rows].T)
+        equal = np.empty((at.shape[1], len(b)), bool)
+        same = np.zeros(equal.shape, np.uint8 if loci < 256 else np.uint16)
+        for k in range(loci):
+            np.equal(at[k][:, None], bt[k][None, :], out=equal)
+            np.add(same, equal.view(np.uint8), out=same)
+        r, c = np.nonzero(same >= need[s : s + rows, None].astype(same.dtype))
+        if not len(r):
+            continue
+        both = np.bitwise_count(ma[s + r] & mb[c]).sum(1, dtype=np.int64).astype(float)
+        near = close_values(both, both - same[r, c], qa[s + r], qb[c], loci, allowed_missing) <= within
+        out[s + r[near], c[near]] = True
+    return out

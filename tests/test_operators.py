@@ -34,6 +34,8 @@ def test_block_distance_matches_definition():
     d = distance.block_d0(p, p)
     for i, j in itertools.product(range(30), repeat=2):
         assert d[i, j] == d0_by_hand(p[i].tolist(), p[j].tolist())
+    for t in (0, 7, 20, 64):
+        assert (distance.block_within(p, p, t, rows=7) == (d <= t)).all()
 
 
 def test_expression_distance_matches_block(spark):

@@ -309,13 +309,12 @@ def components_at_7(spark, sf_dir):
     return cluster.labels_at(_edges(spark, sf_dir), _nodes(spark, sf_dir), 7)
 
 
-@query(f"WITH RECURSIVE {BOTH_SQL}, {_reach('w < 20')} SELECT label, count(*) AS n, array_agg(id ORDER BY id) AS members FROM n GROUP BY 1 HAVING count(*) > 1 AND count(*) <= 50")
+@query(f"WITH RECURSIVE {BOTH_SQL}, {_reach('w < 20')} SELECT label, id FROM n WHERE label IN (SELECT label FROM n GROUP BY 1 HAVING count(*) > 1)")
 def island_members(spark, sf_dir):
-    """Members of every island of short edges of up to 50 samples (larger ones are reported by island_stats)."""
-    lab = cluster.labels_at(_edges(spark, sf_dir), _nodes(spark, sf_dir), 20, strict=True)
-    # lists are made only for islands whose size was checked
-    size = lab.groupBy("label").agg(F.count("*").alias("n")).where("n > 1 and n <= 50")
-    return lab.join(size, "label").groupBy("label").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("id")).alias("members"))
+    """Members of every island of short edges, one row each, so that no island has to fit into a list."""
+    lab = pin(cluster.labels_at(_edges(spark, sf_dir), _nodes(spark, sf_dir), 20, strict=True), "islands")
+    real = lab.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    return lab.join(real, "label").select("label", "id")
 
 
 @query(f"""WITH RECURSIVE {BOTH_SQL}, {_reach('w <= 7')}, x AS (SELECT a.label AS la, c.label AS lb FROM e JOIN n a ON a.id = e.u JOIN n c ON c.id = e.v),

@@ -76,9 +76,9 @@ def window_best(alleles: np.ndarray, ids: np.ndarray, group: np.ndarray, width:
         cols = np.ascontiguousarray(np.where(present, alleles, -1 - np.arange(n, dtype=np.int32)[:, None]).T)
         bits, q = masks(alleles), present.sum(1)
         for o in range(1, width + 1):
-            same = np.zeros(n - o, np.uint16)
+            same = np.zeros(n - o, np.uint8 if loci < 256 else np.uint16)
             for c in cols:
-                same += c[:-o] == c[o:]
+                same += (c[:-o] == c[o:]).view(np.uint8)
             al = np.bitwise_count(bits[:-o] & bits[o:]).sum(1, dtype=np.int64)
             d = close_values(al, al - same, q[:-o], q[o:], loci, allowed_missing).astype(np.int64)
             d[group[:-o] != group[o:]] = FAR

@@ -163,54 +163,87 @@ def island_stats(edges: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
     return out.withColumn("density", F.when(F.col("size") == 1, 1.0).otherwise(F.round(2.0 * F.col("inner_edges") / (F.col("size") * (F.col("size") - 1)), 6)))
 
 
-def rooted_levels(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def rooted_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """``id, parent, root, depth``: each tree of a forest hung from its vertex of highest degree (smallest id on ties).
 
-    One equi-join per level; the frontier is pinned so that lineage stays short.
+    The arcs of a tree form one closed walk, cut at the root. Its arcs are ranked
+    by pointer doubling, and an edge leads down in the direction walked first, so
+    the rounds grow with the logarithm of the vertices and not with the depth.
+    ``nodes`` without edges are roots of their own.
     """
-    both = pin(symmetrised(edges), "both")
+    both = pin(symmetrised(edges).select("i", "j"), "both")
     deg = both.groupBy("i").agg(F.count("*").alias("degree"))
     comp = components(edges.select("u", "v"))
     root = deg.join(comp, F.col("i") == F.col("id")).groupBy("label").agg(F.min_by("i", F.struct((-F.col("degree")).alias("d"), "i")).alias("root"))
-    frontier = pin(root.select(F.col("root").alias("id"), F.lit(None).cast("long").alias("parent"), "root", F.lit(0).alias("depth")), "frontier")
-    done = frontier
-    for depth in range(1, max_depth):
-        step = frontier.select(F.col("id").alias("at"), F.col("parent").alias("came"), "root").join(both, F.col("at") == F.col("i")).where(F.col("came").isNull() | (F.col("j") != F.col("came")))
-        frontier = pin(step.select(F.col("j").alias("id"), F.col("at").alias("parent"), "root", F.lit(depth).alias("depth")), "frontier")
-        if not frontier.limit(1).count():
-            return done
-        done = done.unionByName(frontier)
-    return done
+    root_of = pin(comp.join(root, "label").select("id", "root"), "roots")
+    around = Window.partitionBy("i")
+    ring = both.withColumn("after", F.lead("j").over(around.orderBy("j"))).withColumn("first", F.min("j").over(around)).join(root_of, F.col("i") == F.col("id"))
+    onward = F.coalesce("after", F.when(F.col("i") != F.col("root"), F.col("first")))  # null: the walk ends here
+    now = pin(ring.select(F.col("j").alias("a"), F.col("i").alias("b"), F.when(onward.isNotNull(), F.col("i")).alias("na"), onward.alias("nb"), F.lit(1).cast("long").alias("left")), "walk")
+    for _ in range(max_rounds):
+        if not now.where("na is not null").limit(1).count():
+            break
+        ahead = now.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("left").alias("more"))
+        hop = now.where("na is not null").join(ahead, ["na", "nb"]).select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("left") + F.col("more")).alias("left"))
+        new = pin(now.where("na is null").unionByName(hop), "walk")
+        unpin(now)
+        now = new
+    else:
+        raise RuntimeError(f"walk not ranked after {max_rounds} rounds")
+    down = now.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max_by(F.struct("a", "b"), "left").alias("e")).select(F.col("e.b").alias("id"), F.col("e.a").alias("parent"))
+    tree = root_of.join(down, "id", "left").select("id", "parent", "root")
+    if nodes is not None:
+        lone = nodes.select("id").distinct().join(root_of.select("id"), "id", "left_anti")
+        tree = tree.unionByName(lone.select("id", F.lit(None).cast("long").alias("parent"), F.col("id").alias("root")))
+    tree = pin(tree, "tree")
+    depth = _from_root(tree.withColumns({"share": F.lit(1.0), "shift": F.when(F.col("parent").isNull(), 0.0).otherwise(1.0)}), max_rounds)
+    return tree.join(depth.select("id", F.col("shift").cast("int").alias("depth")), "id").select("id", "parent", "root", "depth")
+
+
+def _from_root(tree: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``id, share, shift`` against the root, from ``id, parent, share, shift`` against the parent.
+
+    A vertex at ``shift`` s with ``share`` f of a parent's extent lies at (place +
+    s * extent) and has the extent (f * extent). Such steps can be joined in any
+    grouping, so each round doubles the length of the paths that are done.
+    """
+    now = pin(tree.select("id", F.col("parent").alias("up"), "share", "shift"), "paths")
+    for _ in range(max_rounds):
+        if not now.where("up is not null").limit(1).count():
+            return now.select("id", "share", "shift")
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("share").alias("f"), F.col("shift").alias("s"))
+        hop = now.where("up is not null").join(above, "up").select("id", F.col("up2").alias("up"), (F.col("f") * F.col("share")).alias("share"), (F.col("s") + F.col("f") * F.col("shift")).alias("shift"))
+        new = pin(now.where("up is null").unionByName(hop), "paths")
+        unpin(now)
+        now = new
+    raise RuntimeError(f"paths not done after {max_rounds} rounds")
+
+
+def _ranked(levels: DataFrame) -> DataFrame:
+    """``levels`` with ``rank`` among the children of a parent (by id) and their number ``n``."""
+    w = Window.partitionBy("parent", "root")
+    return levels.withColumn("rank", F.row_number().over(w.orderBy("id")) - 1).withColumn("n", F.count("*").over(w))
+
+
+def _below(top, child):
+    """``top`` at a root, ``child`` elsewhere."""
+    return F.when(F.col("depth") == 0, top).otherwise(child)
 
 
 def tree_layout(levels: DataFrame, width: float = 2.0) -> DataFrame:
-    """``id, x, y``: children share their parent's width; one arithmetic join per depth."""
-    ranked = levels.withColumn("rank", F.row_number().over(Window.partitionBy("parent", "root").orderBy("id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("parent", "root")))
-    ranked = pin(ranked, "ranked")
-    deepest = ranked.agg(F.max("depth")).first()[0] or 0
-    at = ranked.where("depth = 0").select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(width).alias("width"))
-    out = at
-    for depth in range(1, deepest + 1):
-        kids = ranked.where(F.col("depth") == depth).select("id", "parent", "rank", "n")
-        up = at.select(F.col("id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("width").alias("pw"))
-        dx = F.col("pw") / (F.col("n") + 1)
-        at = pin(kids.join(up, "parent").select("id", (F.col("px") - F.col("pw") / 2 - dx / 2 + (F.col("rank") + 1) * dx).alias("x"), (F.col("py") - 1).alias("y"), dx.alias("width")), "layout")
-        out = out.unionByName(at)
-    return out.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """``id, x, y``: children share their parent's width."""
+    ranked = pin(_ranked(levels), "ranked")
+    share = 1 / (F.col("n") + 1)
+    at = _from_root(ranked.select("id", "parent", _below(F.lit(1.0), share).alias("share"), _below(F.lit(0.0), (F.col("rank") + 0.5) * share - 0.5).alias("shift")))
+    return at.join(ranked.select("id", "depth"), "id").select("id", F.round(F.col("shift") * width, 6).alias("x"), (-F.col("depth")).cast("double").alias("y"))
 
 
 def radial_layout(levels: DataFrame) -> DataFrame:
     """``id, x, y``: children share their parent's angle, one unit of radius per depth."""
-    ranked = pin(levels.withColumn("rank", F.row_number().over(Window.partitionBy("parent", "root").orderBy("id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("parent", "root"))), "ranked")
-    deepest = ranked.agg(F.max("depth")).first()[0] or 0
-    at = ranked.where("depth = 0").select("id", F.lit(0.0).alias("angle"), F.lit(2 * np.pi).alias("share"), F.lit(0).alias("radius"))
-    out = at
-    for depth in range(1, deepest + 1):
-        kids = ranked.where(F.col("depth") == depth).select("id", "parent", "rank", "n")
-        up = at.select(F.col("id").alias("parent"), F.col("angle").alias("pa"), F.col("share").alias("ps"))
-        at = pin(kids.join(up, "parent").select("id", (F.col("pa") - F.col("ps") / 2 + (F.col("rank") + 0.5) * F.col("ps") / F.col("n")).alias("angle"), (F.col("ps") / F.col("n")).alias("share"), F.lit(depth).alias("radius")), "layout")
-        out = out.unionByName(at)
-    return out.select("id", F.round(F.col("radius") * F.cos("angle"), 6).alias("x"), F.round(F.col("radius") * F.sin("angle"), 6).alias("y"))
+    ranked = pin(_ranked(levels), "ranked")
+    at = _from_root(ranked.select("id", "parent", _below(F.lit(1.0), 1 / F.col("n")).alias("share"), _below(F.lit(0.0), (F.col("rank") + 0.5) / F.col("n") - 0.5).alias("shift")))
+    angle = F.col("shift") * (2 * np.pi)
+    return at.join(ranked.select("id", "depth"), "id").select("id", F.round(F.col("depth") * F.cos(angle), 6).alias("x"), F.round(F.col("depth") * F.sin(angle), 6).alias("y"))
 
 
 def hierarchical_layout(levels: DataFrame) -> DataFrame:

@@ -528,12 +528,12 @@ def threshold_pick(spark, sf_dir):
 
 
 def _levels(spark, sf_dir):
-    return pin(graph.rooted_levels(graph.spanning_forest(_edges(spark, sf_dir).where("w <= 7"))), "rooted")
+    return pin(graph.rooted_levels(graph.spanning_forest(_edges(spark, sf_dir)), _nodes(spark, sf_dir)), "rooted")
 
 
 @query()
 def tree_layout(spark, sf_dir):
-    """Tree drawing of the forest of close pairs."""
+    """Tree drawing of the whole forest, samples without pairs as trees of their own."""
     return graph.tree_layout(_levels(spark, sf_dir))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from locuslake.operators import cluster, distance, evaluate, graph, series
 from locuslake.operators.profiles import alleles_from_columns, distinct_profiles
+from locuslake.plans import core_queries
 
 
 def d0_by_hand(a, b, am=0.05):
@@ -138,3 +139,42 @@ def test_layouts(spark):
     tree = {r.id: (r.x, r.y) for r in graph.tree_layout(levels).collect()}
     assert tree[0] == (0.0, 0.0) and tree[4][1] == -2.0 and tree[1][0] < tree[2][0] < tree[3][0]
     assert graph.radial_layout(levels).count() == graph.hierarchical_layout(levels).count() == 5
+
+
+def test_layouts_of_deep_forest_place_every_node(spark):
+    r = random.Random(5)
+    chain = [(i, i + 1, 1) for i in range(150)]
+    bush = [(200 + r.randint(0, i - 1), 200 + i, 30) for i in range(1, 40)]
+    rows = chain + bush
+    adj = {}
+    for u, v, _ in rows:
+        adj.setdefault(u, []).append(v)
+        adj.setdefault(v, []).append(u)
+    want, tree, angle, left = {}, {}, {}, {*adj, 500, 501}
+    while left:
+        root = min(left, key=lambda x: (-len(adj.get(x, [])), x))
+        want[root], tree[root], angle[root], queue = (None, root, 0), (0.0, 2.0), (0.0, 2 * np.pi), [root]
+        for at in queue:
+            left.remove(at)
+            kids = sorted(x for x in adj.get(at, []) if x != want[at][0])
+            for k, kid in enumerate(kids):
+                want[kid] = (at, root, want[at][2] + 1)
+                (x, w), (a, s) = tree[at], angle[at]
+                dx = w / (len(kids) + 1)
+                tree[kid] = (x - w / 2 - dx / 2 + (k + 1) * dx, dx)
+                angle[kid] = (a - s / 2 + (k + 0.5) * s / len(kids), s / len(kids))
+            queue += kids
+    nodes = spark.createDataFrame([(x,) for x in want], "id long")
+    levels = graph.rooted_levels(edges_of(spark, rows), nodes)
+    assert {x.id: (x.parent, x.root, x.depth) for x in levels.collect()} == want
+    got = {x.id: (x.x, x.y) for x in graph.tree_layout(levels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x][0] - tree[x][0]) < 2e-6 and got[x][1] == -want[x][2] for x in want)
+    got = {x.id: (x.x, x.y) for x in graph.radial_layout(levels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x][0] - want[x][2] * np.cos(angle[x][0])) < 2e-6 and abs(got[x][1] - want[x][2] * np.sin(angle[x][0])) < 2e-6 for x in want)
+
+
+def test_layout_queries_place_every_sample(spark, sf):
+    n = spark.read.parquet(f"{sf}/cgmlst_profile.parquet").count()
+    for name in ("tree_layout", "radial_layout", "hierarchical_layout"):
+        out = core_queries.Q[name](spark, sf)
+        assert out.count() == out.select("id").distinct().count() == n

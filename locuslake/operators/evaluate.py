@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def silhouettes(both: DataFrame, labels: DataFrame) -> DataFrame:
+def silhouettes(both: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``id, label, s`` over the pairs that are listed; ``both``: i, j, w in both directions.
 
     Means run over listed pairs only. A sample whose cluster has one member, or
-    with no listed pair inside or outside its cluster, gets 0.
+    with no listed pair inside or outside its cluster, gets 0. ``by`` names columns
+    of ``labels`` that part it into labelings of the same samples, kept in the result.
     """
-    lab = labels.select("id", "label")
-    size = lab.groupBy("label").agg(F.count("*").alias("n"))
-    d = both.join(lab.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j").groupBy("i", "lj").agg(F.avg("w").alias("m"))
-    d = d.join(lab.select(F.col("id").alias("i"), F.col("label").alias("li")), "i")
-    ab = d.groupBy("i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("b"))
-    out = lab.join(size, "label").join(ab, F.col("id") == F.col("i"), "left")
+    lab = labels.select(*by, "id", "label")
+    size = lab.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    d = both.join(lab.select(*by, F.col("id").alias("j"), F.col("label").alias("lj")), "j").groupBy(*by, "i", "lj").agg(F.avg("w").alias("m"))
+    d = d.join(lab.select(*by, F.col("id").alias("i"), F.col("label").alias("li")), [*by, "i"])
+    ab = d.groupBy(*by, "i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("b"))
+    out = lab.join(size, [*by, "label"]).join(ab.withColumnRenamed("i", "id"), [*by, "id"], "left")
     s = F.when((F.col("n") == 1) | F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return out.select("id", "label", F.round(s, 6).alias("s"))
+    return out.select(*by, "id", "label", F.round(s, 6).alias("s"))
 
 
 def mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -34,6 +35,20 @@ def mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
     return t.select(F.round(F.least(F.greatest(F.when(h <= 0, 1.0).otherwise(mi / h), F.lit(0.0)), F.lit(0.999)), 6).alias("nmi"))
 
 
+def nested_information(levels: DataFrame) -> DataFrame:
+    """``level1, level2, nmi`` of every two levels of a hierarchy (id, level, cluster), level1 below level2.
+
+    A cluster lies inside one cluster of each level above, so two levels share the
+    whole entropy of the upper one and only the cluster sizes are needed.
+    """
+    size = levels.groupBy("level", "cluster").agg(F.count("*").cast("double").alias("c"))
+    h = size.groupBy("level").agg((F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")).alias("h"))  # one row per level
+    h = h.select("level", F.when(F.col("h") > 1e-12, F.col("h")).otherwise(0.0).alias("h"))
+    pair = h.select(F.col("level").alias("level1"), F.col("h").alias("h1")).join(h.select(F.col("level").alias("level2"), F.col("h").alias("h2")), F.col("level1") < F.col("level2"))
+    nmi = F.when(F.col("h1") + F.col("h2") <= 0, 1.0).otherwise(2 * F.col("h2") / (F.col("h1") + F.col("h2")))
+    return pair.select("level1", "level2", F.round(F.least(F.greatest(nmi, F.lit(0.0)), F.lit(0.999)), 6).alias("nmi"))
+
+
 def davies_bouldin(profiles: DataFrame, labels: DataFrame) -> DataFrame:
     """One row ``db``: samples as rows of presence-coded loci, centroids per label, in long form.
 

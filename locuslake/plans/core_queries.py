@@ -344,6 +344,26 @@ def level_group_counts(spark, sf_dir):
     return hierarchy_levels(spark, sf_dir).groupBy("level").agg(F.count_distinct("cluster").alias("n_groups"))
 
 
+ALL_LEVELS = list(range(65))
+
+
+def _step(spark, sf_dir):
+    """Levels between two evaluated ones: as in the reference 10, or 1 under 1,000 samples."""
+    return 10 if _nodes(spark, sf_dir).count() >= 1000 else 1
+
+
+@query()
+def hierarchy_all_levels(spark, sf_dir):
+    """Cluster of every sample at every level from 0 to the number of loci, all from one spanning forest."""
+    return cluster.hierarchy(_edges(spark, sf_dir), _nodes(spark, sf_dir), ALL_LEVELS)
+
+
+@query()
+def all_level_group_counts(spark, sf_dir):
+    """Groups at every level."""
+    return hierarchy_all_levels(spark, sf_dir).groupBy("level").agg(F.count_distinct("cluster").alias("n_groups"))
+
+
 @query()
 def spanning_forest(spark, sf_dir):
     """The minimum spanning forest of the listed pairs."""
@@ -427,12 +447,11 @@ def silhouette_samples(spark, sf_dir):
 
 @query()
 def silhouette_levels(spark, sf_dir):
-    """Mean silhouette at each level."""
+    """Mean silhouette at each evaluated level."""
     e = pin(_edges(spark, sf_dir), "edges")
-    h = pin(cluster.hierarchy(e, _nodes(spark, sf_dir), HIER), "levels")
-    both = pin(graph.symmetrised(e), "both")
-    one = [evaluate.silhouettes(both, h.where(F.col("level") == d).select("id", F.col("cluster").alias("label"))).agg(F.round(F.avg("s"), 6).alias("silhouette")).select(F.lit(d).alias("level"), "silhouette") for d in HIER]
-    return reduce(DataFrame.unionByName, one)
+    h = pin(cluster.hierarchy(e, _nodes(spark, sf_dir), ALL_LEVELS[:: _step(spark, sf_dir)]), "levels")
+    s = evaluate.silhouettes(graph.symmetrised(e), h.withColumnRenamed("cluster", "label"), ("level",))
+    return s.groupBy("level").agg(F.round(F.avg("s"), 6).alias("silhouette"))
 
 
 @query("""WITH a AS (SELECT sample_idx, coalesce(country, 'NA') AS u, coalesce(lab_code, 'NA') AS v FROM cgmlst_profile), c AS (SELECT u, v, count(*)::DOUBLE AS c FROM a GROUP BY 1, 2),
@@ -448,11 +467,8 @@ def nmi_country_lab(spark, sf_dir):
 
 @query()
 def nmi_levels(spark, sf_dir):
-    """Mutual information of every two levels of the hierarchy."""
-    h = pin(hierarchy_levels(spark, sf_dir), "levels")
-    at = lambda d: h.where(F.col("level") == d).select("id", F.col("cluster").alias("label"))
-    pairs = [(a, b) for a in HIER for b in HIER if a < b]
-    return reduce(DataFrame.unionByName, [evaluate.mutual_information(at(a), at(b)).select(F.lit(a).alias("level1"), F.lit(b).alias("level2"), "nmi") for a, b in pairs])
+    """Mutual information of every two evaluated levels of the hierarchy."""
+    return evaluate.nested_information(cluster.hierarchy(_edges(spark, sf_dir), _nodes(spark, sf_dir), ALL_LEVELS[:: _step(spark, sf_dir)]))
 
 
 @query("""WITH x AS (SELECT unnest(range(1, 65)) AS k, unnest(""" + ALLELES_SQL + """) AS a, coalesce(lab_code, 'NA') AS label, sample_idx AS id FROM cgmlst_profile), y AS (SELECT id, label, k, (a > 0)::INT::DOUBLE AS x FROM x),
@@ -512,9 +528,9 @@ def breakpoint_levels(spark, sf_dir):
     """Best levels by silhouette and by information lost to the next level."""
     sil = pin(silhouette_levels(spark, sf_dir), "sil")
     nmi = pin(nmi_levels(spark, sf_dir), "nmi")
-    place = {d: k for k, d in enumerate(HIER)}
-    idx = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col(c))
-    return series.breakpoint_scores(sil.select(idx("level").alias("idx"), F.col("silhouette").alias("x")), nmi.select(idx("level1").alias("idx"), idx("level2").alias("b"), F.col("nmi").alias("x")).where("b = idx + 1").select("idx", "x"))
+    step = _step(spark, sf_dir)
+    idx = lambda c: (F.col(c) / step).cast("int")
+    return series.breakpoint_scores(sil.select(idx("level").alias("idx"), F.col("silhouette").alias("x")), nmi.where(F.col("level2") == F.col("level1") + step).select(idx("level1").alias("idx"), F.col("nmi").alias("x")))
 
 
 @query(SERIES_SQL + """, s AS (SELECT *, abs(x - lag(x) OVER (ORDER BY idx)) AS st FROM y), z AS (SELECT *, sum(CASE WHEN st <= 0.002 THEN 0 ELSE 1 END) OVER (ORDER BY idx) AS g FROM s),

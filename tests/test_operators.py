@@ -178,3 +178,35 @@ def test_layout_queries_place_every_sample(spark, sf):
     for name in ("tree_layout", "radial_layout", "hierarchical_layout"):
         out = core_queries.Q[name](spark, sf)
         assert out.count() == out.select("id").distinct().count() == n
+
+
+def test_hierarchy_of_every_level_in_blocks_and_rounds(spark):
+    r = random.Random(6)
+    rows = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), r.randint(0, 64)) for a, b in ((r.randint(0, 80), r.randint(0, 80)) for _ in range(130)) if a != b}.values())
+    # a block for all levels, one for the levels under 50, and rounds for a level with more edges than a block
+    for levels, block in ((range(65), 200_000), ([0, 20, 49, 50, 64], 25)):
+        got = {(x.level, x.id): x.cluster for x in cluster.hierarchy(edges_of(spark, rows), spark.range(82), list(levels), block_edges=block).collect()}
+        assert len(got) == 82 * len(levels)
+        for level in levels:
+            want = brute_components([e for e in rows if e[2] <= level], range(82))
+            assert all(got[level, i] == want[i] for i in range(82))
+
+
+def test_evaluation_of_levels_together_equals_one_by_one(spark):
+    r = random.Random(7)
+    rows = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), r.randint(0, 20)) for a, b in ((r.randint(0, 40), r.randint(0, 40)) for _ in range(90)) if a != b}.values())
+    h = spark.createDataFrame(cluster.hierarchy(edges_of(spark, rows), spark.range(42), [0, 4, 9]).collect())
+    at = lambda d: h.where(F.col("level") == d).select("id", F.col("cluster").alias("label"))
+    both = graph.symmetrised(edges_of(spark, rows))
+    together = {(x.level, x.id): x.s for x in evaluate.silhouettes(both, h.withColumnRenamed("cluster", "label"), ("level",)).collect()}
+    assert together == {(d, x.id): x.s for d in (0, 4, 9) for x in evaluate.silhouettes(both, at(d)).collect()}
+    nmi = {(x.level1, x.level2): x.nmi for x in evaluate.nested_information(h).collect()}
+    assert nmi.keys() == {(0, 4), (0, 9), (4, 9)}
+    assert all(abs(x - evaluate.mutual_information(at(a), at(b)).first()[0]) < 2e-6 for (a, b), x in nmi.items())
+
+
+def test_level_queries_cover_the_whole_range(spark, sf):
+    want = set(range(65))  # under 1,000 samples every level is evaluated
+    assert {x.level for x in core_queries.Q["all_level_group_counts"](spark, sf).collect()} == want
+    assert {x.level for x in core_queries.Q["silhouette_levels"](spark, sf).collect()} == want
+    assert {(x.level1, x.level2) for x in core_queries.Q["nmi_levels"](spark, sf).collect()} == {(a, b) for a in want for b in want if a < b}

@@ -42,13 +42,14 @@ def scaled(series: DataFrame) -> DataFrame:
     return series.select("idx", F.round(F.when((hi > 0) & (hi > lo), (F.col("x") - lo) / (hi - lo)).otherwise(F.col("x")), 6).alias("x"))
 
 
-def breakpoint_scores(sil: DataFrame, nmi_next: DataFrame, n: int = 5) -> DataFrame:
-    """``idx, score`` of the best levels: 0.6 scaled silhouette + 0.4 scaled drop of information to the next level."""
+def breakpoint_scores(sil: DataFrame, nmi_next: DataFrame, n: int = 5, height: float = 0.15, prominence: float = 0.03) -> DataFrame:
+    """``idx, score`` of the best peaks of the silhouette: 0.6 scaled silhouette + 0.4 scaled drop of information to the next level."""
     drop = nmi_next.select("idx", (1 - F.col("x")).alias("d"))
     top = Window.partitionBy()
     both = scaled(sil).join(drop, "idx", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     score = 0.6 * F.col("x") + 0.4 * F.coalesce(F.col("d") / F.nullif(F.max("d").over(top), F.lit(0.0)), F.lit(0.0))
-    return both.select("idx", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "idx").limit(n)
+    scored = both.select("idx", F.round(score, 6).alias("score"))  # scaled over all levels, then only peaks are kept
+    return scored.join(peaks(sil, height, prominence).select("idx"), "idx", "left_semi").orderBy(F.desc("score"), "idx").limit(n)
 
 
 def first_two(candidates: DataFrame) -> DataFrame:

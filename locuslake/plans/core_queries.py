@@ -525,12 +525,13 @@ def scaled_series(spark, sf_dir):
 
 @query()
 def breakpoint_levels(spark, sf_dir):
-    """Best levels by silhouette and by information lost to the next level."""
+    """Best peaks of the silhouette over the evaluated levels, by it and by information lost to the next level."""
     sil = pin(silhouette_levels(spark, sf_dir), "sil")
     nmi = pin(nmi_levels(spark, sf_dir), "nmi")
     step = _step(spark, sf_dir)
     idx = lambda c: (F.col(c) / step).cast("int")
-    return series.breakpoint_scores(sil.select(idx("level").alias("idx"), F.col("silhouette").alias("x")), nmi.where(F.col("level2") == F.col("level1") + step).select(idx("level1").alias("idx"), F.col("nmi").alias("x")))
+    best = series.breakpoint_scores(sil.select(idx("level").alias("idx"), F.col("silhouette").alias("x")), nmi.where(F.col("level2") == F.col("level1") + step).select(idx("level1").alias("idx"), F.col("nmi").alias("x")))
+    return best.select((F.col("idx") * step).alias("level"), "idx", "score")
 
 
 @query(SERIES_SQL + """, s AS (SELECT *, abs(x - lag(x) OVER (ORDER BY idx)) AS st FROM y), z AS (SELECT *, sum(CASE WHEN st <= 0.002 THEN 0 ELSE 1 END) OVER (ORDER BY idx) AS g FROM s),

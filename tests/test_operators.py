@@ -210,3 +210,30 @@ def test_level_queries_cover_the_whole_range(spark, sf):
     assert {x.level for x in core_queries.Q["all_level_group_counts"](spark, sf).collect()} == want
     assert {x.level for x in core_queries.Q["silhouette_levels"](spark, sf).collect()} == want
     assert {(x.level1, x.level2) for x in core_queries.Q["nmi_levels"](spark, sf).collect()} == {(a, b) for a in want for b in want if a < b}
+
+
+def test_breakpoints_are_peaks(spark):
+    r = random.Random(8)
+    for n, x in ((0, [0.1, 0.2, 0.3, 0.4, 0.5]), (5, [r.choice([0.05, 0.1, 0.16, 0.17, 0.3, 0.5, 0.52]) for _ in range(40)])):
+        drop = [round(r.random(), 3) for _ in x[1:]] + [0.0]
+        best = []
+        for i in range(1, len(x) - 1):
+            lo, hi = i, i  # a flat top counts at its middle
+            while lo and x[lo - 1] == x[i]:
+                lo -= 1
+            while hi < len(x) - 1 and x[hi + 1] == x[i]:
+                hi += 1
+            if x[i] < 0.15 or i != (lo + hi) // 2 or lo == 0 or hi == len(x) - 1 or x[lo - 1] > x[i] or x[hi + 1] > x[i]:
+                continue
+            left, right = i, i
+            while left >= 0 and x[left] <= x[i]:
+                left -= 1
+            while right < len(x) and x[right] <= x[i]:
+                right += 1
+            if x[i] - max(min(x[left + 1 : i + 1]), min(x[i:right])) >= 0.03:
+                best.append((i, 0.6 * (x[i] - min(x)) / (max(x) - min(x)) + 0.4 * drop[i] / max(drop)))
+        want = sorted(best, key=lambda p: -p[1])[:5]
+        assert len(want) == n
+        got = series.breakpoint_scores(spark.createDataFrame(list(enumerate(x)), "idx int, x double"), spark.createDataFrame([(i, 1 - d) for i, d in enumerate(drop[:-1])], "idx int, x double")).collect()
+        assert [p.idx for p in got] == [i for i, _ in want]
+        assert all(abs(p.score - s) < 2e-5 for p, (_, s) in zip(got, want, strict=True))

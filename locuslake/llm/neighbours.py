@@ -1,39 +1,45 @@
 """Most similar vectors for every vector: shifted Hilbert orderings, window merge, exact rerank.
 
-A profile's hashed features are projected onto a few axes at a time; an
-ordering is the Hilbert index of the first group of axes, refined by the next
-groups, and each ordering uses other axes and other shifts. All orderings are
-range-partitioned in one shuffle; inside a partition every vector is compared,
-with the exact distance, with the vectors next to it in key order. The best of
-all orderings are merged per vector.
+A profile is projected by linear functions of its alleles (one-hot): random
+combinations of a bounded sample of profiles, turned onto their principal
+directions, so profiles that share alleles lie close together and families lie
+apart. Every ordering turns these coordinates at random, cuts each axis at
+shifted quantiles and takes the Hilbert index of the cells. All orderings are
+range-partitioned in one shuffle; in a partition every vector is compared, with
+the exact distance, with the vectors next to it in key order, and the windows
+that reach over a partition's edge are made up of the rows on both sides. The
+best of all orderings are merged per vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.distance import ALLOWED_MISSING, close_values, masks
-from ..session import pin
+from ..session import pin, unpin
 
 FAR = 32000
+ID_BITS = 48
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert index of each row of ``coords`` (rows, axes), by Skilling's transposed form; axes * bits <= 62."""
-    x = coords.astype(np.int64).T.copy()
+    x = np.ascontiguousarray(coords.T, np.uint16 if bits > 8 else np.uint8)
     n = len(x)
     q = 1 << (bits - 1)
     while q > 1:
-        p = q - 1
+        p = x.dtype.type(q - 1)
         for i in range(n):
-            hit = (x[i] & q) != 0
+            hit = (x[i] & x.dtype.type(q)) != 0
             t = np.where(hit, 0, (x[0] ^ x[i]) & p)
-            x[0] = np.where(hit, x[0] ^ p, x[0] ^ t)
+            x[0] ^= np.where(hit, p, t)
             if i:
                 x[i] ^= t
         q >>= 1
@@ -42,88 +48,248 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     t = np.zeros_like(x[0])
     q = 1 << (bits - 1)
     while q > 1:
-        t = np.where((x[n - 1] & q) != 0, t ^ (q - 1), t)
+        t = np.where((x[n - 1] & x.dtype.type(q)) != 0, t ^ x.dtype.type(q - 1), t)
         q >>= 1
     x ^= t
-    out = np.zeros_like(x[0])
+    out = np.zeros(x.shape[1], np.int64)
     for b in range(bits - 1, -1, -1):
         for i in range(n):
             out = (out << 1) | ((x[i] >> b) & 1)
     return out
 
 
-def ordering_keys(alleles: np.ndarray, ordering: int, axes: int = 4, bits: int = 4, levels: int = 3, seed: int = 17) -> np.ndarray:
-    """Key of each profile in one ordering: ``levels`` Hilbert indices of ``axes`` hashed loci each, first level first."""
-    rng = np.random.default_rng([seed, ordering])
-    loci = rng.permutation(alleles.shape[1])
-    shift = rng.integers(1, 2**31, size=alleles.shape[1])
-    key = np.zeros(len(alleles), np.int64)
-    for level in range(levels):
-        at = loci[(level * axes + np.arange(axes)) % len(loci)]
-        h = (alleles[:, at].astype(np.uint64) + shift[at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key = (key << (axes * bits)) | hilbert_index((h >> np.uint64(64 - bits)).astype(np.int64), bits)
-    return key
+def concatenated(coords: np.ndarray, bits: int) -> np.ndarray:
+    """The coordinates of each row written one after the other; what the Hilbert index is measured against."""
+    out = np.zeros(len(coords), np.int64)
+    for c in coords.T:
+        out = (out << bits) | c
+    return out
+
+
+@dataclass
+class Projection:
+    """Directions for (locus, allele), turns and cuts for every ordering; its size is bounded by the sample and the axes."""
+
+    alleles: list[np.ndarray]  # per locus: the alleles of the sample, sorted
+    vectors: list[np.ndarray]  # per locus: a row for each of them
+    other: np.ndarray  # rows for alleles outside the sample, by hash
+    centre: np.ndarray
+    turns: np.ndarray  # orderings, directions, axes
+    cuts: np.ndarray  # orderings, axes, 2**bits - 1
+    bits: int
+
+    def project(self, profiles: np.ndarray) -> np.ndarray:
+        """(rows, directions): the sum of the directions of a profile's alleles; a missing locus adds nothing."""
+        out = np.tile(-self.centre, (len(profiles), 1))
+        for k, (known, rows) in enumerate(zip(self.alleles, self.vectors, strict=True)):
+            a = profiles[:, k]
+            at = np.minimum(np.searchsorted(known, a), max(len(known) - 1, 0))
+            if not len(known):
+                continue
+            seen = known[at] == a
+            if seen.all():
+                out += rows[at]
+                continue
+            out[seen] += rows[at[seen]]
+            new = (a > 0) & ~seen
+            if new.any():
+                h = (a[new].astype(np.uint64) * np.uint64(64) + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                out[new] += self.other[(h >> np.uint64(40)) % np.uint64(len(self.other))]
+        return out
+
+    def cells(self, projected: np.ndarray, ordering: int) -> np.ndarray:
+        """(rows, axes): the cell of each row in one ordering."""
+        turned = projected @ self.turns[ordering]
+        return np.stack([np.searchsorted(self.cuts[ordering, j], turned[:, j]) for j in range(turned.shape[1])], 1).astype(np.uint8)
 
+    def keys(self, projected: np.ndarray, ordering: int) -> np.ndarray:
+        return hilbert_index(self.cells(projected, ordering), self.bits)
 
-def window_best(alleles: np.ndarray, ids: np.ndarray, group: np.ndarray, width: int, k: int, allowed_missing: float = ALLOWED_MISSING) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the ``k`` nearest (distance, then id) of the ``width`` rows before and after it in its group."""
+
+def fit_projection(sample: np.ndarray, orderings: int, directions: int = 128, axes: int = 20, bits: int = 3, seed: int = 17) -> Projection:
+    """Projection fitted on a bounded ``sample`` (rows, loci) of profiles.
+
+    An allele's direction is the sum of random directions of the sampled profiles
+    that have it, so alleles that occur together point the same way. The axes are
+    turned to the principal ones and each is scaled to the square root of its spread.
+    """
+    rng = np.random.default_rng(seed)
+    n, loci = sample.shape
+    noise = rng.standard_normal((n, directions)).astype(np.float32)
+    alleles, vectors, codes = [], [], []
+    for k in range(loci):
+        known, code = np.unique(sample[:, k], return_inverse=True)
+        rows = np.zeros((len(known), directions), np.float32)
+        np.add.at(rows, code, noise)
+        rows[known <= 0] = 0
+        alleles.append(known)
+        vectors.append(rows)
+        codes.append(code)
+    y = sum(v[c] for v, c in zip(vectors, codes, strict=True)) if n else np.zeros((0, directions), np.float32)
+    centre = y.mean(0) if n else np.zeros(directions, np.float32)
+    _, spread, turn = np.linalg.svd(y - centre, full_matrices=False) if n else (None, np.ones(0), np.zeros((0, directions)))
+    scale = (turn.T / np.sqrt(np.maximum(spread, 1e-6 * max(spread.max(initial=0), 1e-9)))).astype(np.float32)
+    if scale.shape[1] < directions:
+        scale = np.pad(scale, ((0, 0), (0, directions - scale.shape[1])))
+    vectors = [v @ scale for v in vectors]
+    y = (y - centre) @ scale
+    other = rng.standard_normal((4096, directions)).astype(np.float32) * (y.std(0) if n else 1) / np.sqrt(max(loci, 1))
+    turns = rng.standard_normal((orderings, directions, axes)).astype(np.float32)
+    cuts = np.zeros((orderings, axes, 2**bits - 1), np.float32)
+    for t in range(orderings):
+        turned = y @ turns[t]
+        for j in range(axes):
+            at = (np.arange(1, 2**bits) - rng.random()) / 2**bits  # the shift of this axis in this ordering
+            if n:
+                cuts[t, j] = np.quantile(turned[:, j], at)
+    return Projection(alleles, vectors, other.astype(np.float32), (centre @ scale).astype(np.float32), turns, cuts, bits)
+
+
+def window_best(alleles: np.ndarray, ids: np.ndarray, group: np.ndarray, width: int, k: int, allowed_missing: float = ALLOWED_MISSING) -> np.ndarray:
+    """For each row the ``k`` nearest of the ``width`` rows before and after it in its group, as distance << 48 | id, sorted; FAR << 48 fills up."""
     n, loci = alleles.shape
-    width = max(1, min(width, n - 1))
-    near = np.full((n, 2 * width), FAR << 48, np.int64)
+    best = np.full((k, n), FAR << ID_BITS, np.int64)
     if n > 1:
         present = alleles > 0
         # a missing allele equals nothing: each row's is its own negative number
         cols = np.ascontiguousarray(np.where(present, alleles, -1 - np.arange(n, dtype=np.int32)[:, None]).T)
-        bits, q = masks(alleles), present.sum(1)
-        for o in range(1, width + 1):
-            same = np.zeros(n - o, np.uint8 if loci < 256 else np.uint16)
+        bits, q = masks(alleles), present.sum(1).astype(np.float64)
+        same, equal = np.empty(n, np.uint8 if loci < 256 else np.uint16), np.empty(n, bool)
+        for o in range(1, min(width, n - 1) + 1):
+            s, e = same[: n - o], equal[: n - o]
+            s[:] = 0
             for c in cols:
-                same += (c[:-o] == c[o:]).view(np.uint8)
+                np.equal(c[:-o], c[o:], out=e)
+                np.add(s, e.view(np.uint8), out=s)
             al = np.bitwise_count(bits[:-o] & bits[o:]).sum(1, dtype=np.int64)
-            d = close_values(al, al - same, q[:-o], q[o:], loci, allowed_missing).astype(np.int64)
+            d = close_values(al, al - s, q[:-o], q[o:], loci, allowed_missing).astype(np.int64)
             d[group[:-o] != group[o:]] = FAR
-            near[:-o, o - 1] = (d << 48) | ids[o:]
-            near[o:, width + o - 1] = (d << 48) | ids[:-o]
-    k = min(k, near.shape[1])
-    best = np.sort(np.partition(near, k - 1, axis=1)[:, :k], axis=1)
-    return (best >> 48).astype(np.int32), best & ((1 << 48) - 1)
+            d <<= ID_BITS
+            for side, new in ((best[:, : n - o], d | ids[o:]), (best[:, o:], d | ids[: n - o])):
+                for row in side:  # the entry moves down to its place
+                    low = np.minimum(row, new)
+                    new = np.maximum(row, new)
+                    row[:] = low
+    return np.ascontiguousarray(best.T)
 
 
-def class_neighbours(distinct: DataFrame, k: int = 5, orderings: int = 16, width: int = 128, partition_rows: int = 16_000, allowed_missing: float = ALLOWED_MISSING) -> DataFrame:
-    """``rep, near``: for each distinct profile up to ``k`` others as ``array<struct<d, nb>>``, nearest first.
+def class_neighbours(distinct: DataFrame, k: int = 5, orderings: int = 48, width: int = 64, partition_rows: int = 16_000, sample_rows: int = 4096, allowed_missing: float = ALLOWED_MISSING) -> DataFrame:
+    """``rep, d, nb``: for each distinct profile up to ``k`` others, by (d, nb).
 
-    ``distinct``: rep BIGINT in [0, 2^48), alleles ARRAY<INT> of one length.
-    Every profile is in every ordering; no window looks at more than
-    ``2 * width`` rows, so the cost is linear in the rows.
+    ``distinct``: rep BIGINT in [0, 2^48), alleles ARRAY<INT> of one length. The
+    projection is fitted on the ``sample_rows`` profiles with the smallest hash of
+    ``rep``; every profile is then in every ordering, and no window looks at more
+    than ``2 * width`` rows, so the cost is linear in the rows.
     """
     slim = distinct.select("rep", "alleles")
+    spark = slim.sparkSession
     rows = slim.count()
-    parts = max(1, -(-rows * orderings // partition_rows))
+    sample = slim.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("alleles").collect()
+    if not sample:
+        return slim.select("rep", F.lit(0).alias("d"), F.col("rep").alias("nb"))
+    fitted = fit_projection(np.array([r["alleles"] for r in sample], np.int32), orderings)
+    shipped = spark.sparkContext.broadcast(fitted)
+
+    loci = len(fitted.alleles)
+
+    def profiles_of(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(_bytes(column), np.int32).reshape(len(column), loci)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(batch.num_rows, loci)
+            y = shipped.value.project(a)
+            yield pa.RecordBatch.from_arrays([pa.array(shipped.value.keys(y, 0)), batch.column(0), _binary(a)], ["key", "rep", "alleles"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(batch.num_rows, -1)
+            y = shipped.value.project(profiles_of(batch.column(1)))
             for t in range(orderings):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t, np.int32)), pa.array(ordering_keys(a, t)), batch.column(0), batch.column(1)], ["ord", "key", "rep", "alleles"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), t, np.int32)), pa.array(shipped.value.keys(y, t)), batch.column(0), batch.column(1)], ["ord", "key", "rep", "alleles"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
+        t = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if t is None:
             return
-        a = t["alleles"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(t.num_rows, -1)
+        t = t.combine_chunks()
+        ids = t["rep"].to_numpy()
+        best = window_best(profiles_of(t["alleles"].combine_chunks()), ids, t["ord"].to_numpy(), width, k, allowed_missing)
+        none = pa.nulls(len(ids), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _binary(best), none, none, none, pa.nulls(len(ids), pa.binary())], ["rep", "near", "edge", "at", "ord", "alleles"])
+        # the rows beside either edge of the partition, for the windows that reach over it
+        pid = TaskContext.get().partitionId()
+        for edge, cut in ((pid, t.slice(0, width)), (pid + 1, t.slice(max(0, t.num_rows - width)))):
+            m = cut.num_rows
+            at = np.arange(m) + (edge == pid) * width
+            yield pa.RecordBatch.from_arrays([cut["rep"].combine_chunks(), pa.nulls(m, pa.binary()), pa.array(np.full(m, edge, np.int32)), pa.array(at.astype(np.int32)), cut["ord"].combine_chunks(), cut["alleles"].combine_chunks()], ["rep", "near", "edge", "at", "ord", "alleles"])
+
+    def over(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
         ids = t["rep"].to_numpy()
-        d, nb = window_best(a, ids, t["ord"].to_numpy(), width, k, allowed_missing)
-        ok = d < FAR
-        offsets = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
-        near = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(d[ok]), pa.array(nb[ok])], ["d", "nb"]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), near], ["rep", "near"])
+        best = window_best(profiles_of(t["alleles"].combine_chunks()), ids, t["ord"].to_numpy(), width, k, allowed_missing)
+        return pa.table({"rep": ids, "near": _binary(best)})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the rows of the last rep seen may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(1)
+            lens = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 8
+            ids, near = np.repeat(batch.column(0).to_numpy(), lens), np.frombuffer(_bytes(column), np.int64)
+            if held:
+                ids, near = np.concatenate([held[0][0], ids]), np.concatenate([held[0][1], near])
+            last = int(np.searchsorted(ids, ids[-1]))
+            held = [(ids[last:], near[last:])]
+            if last:
+                yield _best_of(ids[:last], near[:last], k)
+        if held:
+            yield _best_of(*held[0], k)
+
+    line = "ord int, key bigint, rep bigint, alleles binary"
+    # relatives side by side, so that the copies for the orderings shrink well in the shuffle
+    tidy = slim.mapInArrow(packed, "key bigint, rep bigint, alleles binary").repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    tidy = pin(tidy.select("rep", "alleles"), "tidy")
+    parts = max(1, -(-rows * orderings // partition_rows))
+    ranged = tidy.mapInArrow(keyed, line).repartitionByRange(parts, "ord", "key", "rep").sortWithinPartitions("ord", "key", "rep")
+    found = pin(ranged.mapInArrow(windows, "rep bigint, near binary, edge int, at int, ord int, alleles binary"), "windows")
+    unpin(tidy)
+    # an edge has at most 2 * width rows
+    edges = found.where("edge is not null").select("edge", "at", "ord", "rep", "alleles").groupBy("edge").applyInArrow(over, "rep bigint, near binary")
+    both = found.where("edge is null").select("rep", "near").unionByName(edges)
+    # at most (orderings + 2) * k entries a profile
+    return both.repartition("rep").sortWithinPartitions("rep").mapInArrow(merged, "rep bigint, d int, nb bigint")
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as one binary value."""
+    size = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bytes(column: pa.Array) -> memoryview:
+    """The bytes of a binary column without nulls, one value after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
+
 
-    ranged = slim.mapInArrow(keyed, "ord int, key bigint, rep bigint, alleles array<int>").repartitionByRange(parts, "ord", "key").sortWithinPartitions("ord", "key", "rep")
-    found = ranged.mapInArrow(windows, "rep bigint, near array<struct<d:int,nb:bigint>>")
-    # at most orderings * k entries a profile
-    return found.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+def _best_of(ids: np.ndarray, near: np.ndarray, k: int) -> pa.RecordBatch:
+    """``rep, d, nb``: the ``k`` least distinct entries of each id that are neighbours at all."""
+    real = near < (FAR << ID_BITS)
+    ids, near = ids[real], near[real]
+    order = np.lexsort((near, ids))
+    ids, near = ids[order], near[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (near[1:] != near[:-1])
+    ids, near = ids[new], near[new]
+    start = np.ones(len(ids), bool)
+    start[1:] = ids[1:] != ids[:-1]
+    at = np.arange(len(ids))
+    first = at - np.maximum.accumulate(np.where(start, at, 0)) < k
+    ids, near = ids[first], near[first]
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near >> ID_BITS).astype(np.int32)), pa.array(near & ((1 << ID_BITS) - 1))], ["rep", "d", "nb"])
 
 
 def nearest_samples(profiles: DataFrame, k: int = 5, **how) -> DataFrame:
@@ -139,8 +305,7 @@ def nearest_samples(profiles: DataFrame, k: int = 5, **how) -> DataFrame:
     slim = profiles.where("sample_idx is not null and alleles is not null").select(F.col("sample_idx").cast("long").alias("sample_idx"), F.transform("alleles", lambda x: F.coalesce(F.greatest(x, F.lit(0)), F.lit(0))).alias("alleles"))
     firsts = slim.withColumn("r", F.row_number().over(Window.partitionBy("alleles").orderBy("sample_idx"))).where(F.col("r") <= k + 1)
     classes = pin(firsts.groupBy("alleles").agg(F.sort_array(F.collect_list("sample_idx")).alias("copies")).withColumn("rep", F.col("copies")[0]), "classes")
-    near = pin(class_neighbours(classes, k, **how), "near")
-    pairs = near.select("rep", F.explode("near").alias("x")).select("rep", "x.d", "x.nb")
+    pairs = pin(class_neighbours(classes, k, **how), "near")
     others = pairs.join(classes.select(F.col("rep").alias("nb"), F.col("copies").alias("cs")), "nb").groupBy("rep").agg(F.flatten(F.collect_list(F.transform("cs", lambda c: F.struct(F.col("d").alias("d"), c.alias("s"))))).alias("others"))
     own = F.transform("copies", lambda c: F.struct(F.lit(0).alias("d"), c.alias("s")))
     best = classes.join(others, "rep", "left").select("alleles", F.slice(F.array_sort(F.concat(own, F.coalesce("others", F.array().cast("array<struct<d:int,s:bigint>>")))), 1, k + 1).alias("best"))

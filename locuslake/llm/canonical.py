@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..operators.hotkeys import number_within_key
 from ..operators.packed import split_packed
-from ..session import pin
+from ..session import pin, unpin
 
-LABEL = r"^[Ll]([0-9]{1,9})[:=](.*)$"
+LABEL = r"^[Ll]([0-9]{1,18})[:=](.*)$"
 
 
 def dictionary(values: DataFrame, raw: str, canonical) -> DataFrame:
@@ -42,29 +42,31 @@ def encode_records(df: DataFrame, row_id: str, number: str, packed: str) -> Data
     """
     slim = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{number}`").alias("st"), F.col(f"`{packed}`").alias("field"))
     slim = slim.withColumn("ok", F.col("st").isNotNull() & F.col("field").isNotNull() & (F.regexp_replace("field", r"[\p{IsWhite_Space}]", "") != ""))
-    # equal spellings once; the smallest row stands for them
-    raw = pin(slim.where("ok").groupBy("st", "field").agg(F.min("id").alias("first")), "spellings")
+    # equal spellings once, by two hashes of the text; the smallest row stands for them
+    spelling = [F.xxhash64("st", "field").alias("h1"), F.xxhash64(F.lit(7), "field", "st").alias("h2")]
+    rows = pin(slim.select("id", "ok", *spelling), "rows")
+    raw = pin(slim.where("ok").select("id", "st", "field", *spelling).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.first("st").alias("st"), F.first("field").alias("field")), "spellings")
     places = split_packed(raw, "field", ["first"])
     label = F.regexp_extract("token", LABEL, 1)
     tokens = pin(
         places.select(
             "first",
-            F.when(label != "", label.cast("int")).otherwise(F.col("pos")).alias("locus"),
+            F.when(label != "", label.cast("long")).otherwise(F.col("pos").cast("long")).alias("locus"),
             F.when(label != "", F.regexp_extract("token", LABEL, 2)).otherwise(F.col("token")).alias("value"),
         ).where("value <> ''"),
         "tokens",
     )
     values = pin(dictionary(tokens, "value", letters_and_digits), "values")
-    numbers = pin(dictionary(raw.withColumnRenamed("st", "number"), "number", lambda c: F.concat(F.lit("#"), F.regexp_replace(c, r"[^0-9]", ""))), "numbers")
+    numbers = dictionary(raw.withColumnRenamed("st", "number"), "number", lambda c: F.concat(F.lit("#"), F.regexp_replace(c, r"[^0-9]", "")))
     # hot tokens make this join uneven; the adaptive skew join splits them, the dictionary side has one row each
-    coded = tokens.join(values, "value").select("first", F.shiftleft(F.col("locus").cast("long"), 40).bitwiseOR(F.col("id")).alias("pair"))
-    coded = coded.groupBy("first").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
-    records = raw.join(numbers, F.col("st") == F.col("number")).select("first", F.col("id").alias("st_id"))
-    records = records.join(coded, "first", "left").withColumn("tuple", F.concat(F.array("st_id"), F.coalesce("pairs", F.array().cast("array<bigint>"))))
-    records = pin(records.select("first", "tuple"), "records")
+    coded = tokens.join(values, "value").groupBy("first").agg(F.array_sort(F.collect_set(F.struct("locus", "id"))).alias("pairs"))
+    records = raw.join(numbers, F.col("st") == F.col("number")).select("first", "h1", "h2", F.col("id").alias("st_id"))
+    none = F.array().cast("array<struct<locus:bigint,id:bigint>>")
+    records = pin(records.join(coded, "first", "left").select("first", "h1", "h2", F.struct("st_id", F.coalesce("pairs", none).alias("pairs")).alias("tuple")), "records")
+    unpin(tokens)
+    unpin(values)
     keep = records.groupBy("tuple").agg(F.min("first").alias("keep"))
-    firsts = records.join(keep, "tuple").select(F.col("first"), F.col("keep"), "tuple")
-    spelled = raw.join(firsts, "first").select("st", "field", "keep", "tuple")
-    matched = slim.where("ok").join(spelled, ["st", "field"]).select("id", F.col("keep").alias("first_id"), "tuple")
-    alone = slim.where("not ok").select("id", F.col("id").alias("first_id"), F.lit(None).cast("array<bigint>").alias("tuple"))
+    spelled = records.join(keep, "tuple").select("h1", "h2", "keep", "tuple")
+    matched = rows.where("ok").join(spelled, ["h1", "h2"]).select("id", F.col("keep").alias("first_id"), "tuple")
+    alone = rows.where("not ok").select("id", F.col("id").alias("first_id"), F.lit(None).cast(spelled.schema["tuple"].dataType).alias("tuple"))
     return matched.unionByName(alone).withColumnRenamed("id", row_id)

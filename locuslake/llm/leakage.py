@@ -54,14 +54,17 @@ def pieces_of(words: list[bytes], min_words: int, max_edits: int) -> list[tuple[
 
 
 def verified(doc: list[bytes], at: int, item: list[bytes], piece_at: int, size: int, min_words: int, max_edits: int) -> tuple[int, int] | None:
-    """``(edits, item word)`` of the first run around a piece hit that is close enough."""
+    """``(edits, item word)`` of the closest run around a piece hit, the first of several, if it is close enough."""
     m = min(min_words, len(item))
+    best = None
     for a in range(max(0, piece_at + size - m), min(piece_at, len(item) - m) + 1):
         lo = at - (piece_at - a) - max_edits
         region = doc[max(0, lo) : at + (a + m - piece_at) + max_edits]
-        if len(region) >= m - max_edits and (e := myers(item[a : a + m], region, max_edits)) <= max_edits:
-            return e, a
-    return None
+        if len(region) >= m - max_edits and (e := myers(item[a : a + m], region, max_edits)) <= max_edits and (best is None or e < best[0]):
+            best = (e, a)
+            if e == 0:
+                break
+    return best
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = 12, max_edits: int = 0, max_items: int = 50_000) -> DataFrame:

@@ -9,6 +9,9 @@ import re
 
 BASE64 = re.compile(r"[A-Za-z0-9+/]+={0,2}")
 CONTROLS = bytes(c for c in range(32) if c not in (9, 10, 11, 12, 13))
+#: stretches of text between other bytes, long enough for some words, in UTF-8 and in two bytes a character
+TEXT_RUN = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xf4][\x80-\xbf]{1,3}){24,}")
+WIDE_RUN = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){24,}")
 SOFT = re.compile(r"=\r?\n|=[0-9A-F]{2}")
 INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|font|a|tt|code|small|big|sub|sup|mark|wbr)(?:\s[^<>]*)?/?>", re.I)
 TAG = re.compile(r"<(?:/?[A-Za-z][^<>]*|!--.*?--|![^<>]*)>", re.S)
@@ -20,37 +23,56 @@ ASCII_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c
 
 
 def cut_blobs(text: str) -> tuple[str, list[str]]:
-    """The text without its base64 runs, and the texts inside those; a run holding no text gives none.
-
-    A run is one line of 40 or more base64 characters at least, and the shorter line that may end it.
-    """
-    rest, runs, run = [], [], []
-    for line in text.split("\n"):
-        s = line.strip(" \t>|:\r")
-        if len(s) >= 40 and " " not in s and BASE64.fullmatch(s):
-            run.append(s)
-            continue
-        if run:
-            short = len(s) >= 2 and BASE64.fullmatch(s)
-            runs.append("".join(run) + (s if short else ""))
-            run = []
-            if short:
+    """The text without its base64 runs, and the texts inside those; a run holding no text gives none."""
+    lines = text.split("\n")
+    rest, inside, at = [], [], 0
+    for first, end in blob_runs(lines):
+        rest += lines[at:first]
+        inside.append(_text_of("".join(_bare(x) for x in lines[first:end])))
+        at = end
+    return "\n".join(rest + lines[at:]), [t for t in inside if t]
+
+
+def _bare(line: str) -> str:
+    return line.strip(" \t>|:\r")
+
+
+def blob_runs(lines: list[str]) -> list[tuple[int, int]]:
+    """First line and end of every run of base64: lines of 40 or more of its characters, or three or more
+    lines of one shorter length that is a multiple of 4; and the shorter line that may end the run."""
+    size = [len(s) if len(s := _bare(x)) >= 2 and " " not in s and BASE64.fullmatch(s) else 0 for x in lines]
+    out, i = [], 0
+    while i < len(lines):
+        n, j = size[i], i
+        if n >= 40:
+            while j < len(lines) and size[j] >= 40:
+                j += 1
+        elif n >= 16 and n % 4 == 0:
+            while j < len(lines) and size[j] == n:
+                j += 1
+            if j - i < 3:
+                i = j
                 continue
-        rest.append(line)
-    if run:
-        runs.append("".join(run))
-    return "\n".join(rest), [t for t in map(_text_of, runs) if t]
+        else:
+            i += 1
+            continue
+        if j < len(lines) and 2 <= size[j] < max(n, 40):
+            j += 1
+        out.append((i, j))
+        i = j
+    return out
 
 
 def _text_of(body: str) -> str | None:
+    """The text in a base64 body: the whole of it, or the stretches of text between bytes that are none."""
     body = body.replace("=", "")
     raw = binascii.a2b_base64(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4 % 3))
-    head = raw[:400]
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff") or head.count(0) > len(head) // 3:
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or raw.count(0) > len(raw) // 3:
         return raw.decode("utf-16", "ignore")
-    if len(head.translate(None, CONTROLS)) < len(head) * 0.95:
-        return None
-    return raw.decode("utf-8", "ignore")
+    if len(raw.translate(None, CONTROLS)) >= len(raw) * 0.95:
+        return raw.decode("utf-8", "ignore")
+    runs = [m.decode("utf-8", "ignore") for m in TEXT_RUN.findall(raw)] + [m.decode("utf-16-le") for m in WIDE_RUN.findall(raw)]
+    return "\n".join(runs) or None
 
 
 def unsoft(text: str) -> str:
@@ -75,8 +97,8 @@ def words(text: str) -> bytes:
 
 
 def has_blob(text: str) -> bool:
-    """A line of 40 or more characters without a blank: cheap, and true of every base64 run."""
-    return any(len(line) >= 40 and " " not in line.strip(" \t>|:\r") for line in text.split("\n"))
+    """A line of 16 or more characters without a blank: cheap, and true of every base64 run."""
+    return any(len(line) >= 16 and " " not in _bare(line) for line in text.split("\n"))
 
 
 def readings(text: str) -> list[bytes]:

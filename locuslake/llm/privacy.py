@@ -45,15 +45,10 @@ def _classes() -> np.ndarray:
 def readable(text: str) -> tuple[str, np.ndarray | None]:
     """The text with base64 blanked and quoted-printable decoded, and each character's place as stored (None: the same)."""
     if mailtext.has_blob(text):
-        out, run = [], 0
         lines = text.split("\n")
-        for i, line in enumerate(lines):
-            s = line.strip(" \t>|:\r")
-            blob = len(s) >= 40 and " " not in s and mailtext.BASE64.fullmatch(s)
-            tail = run and not blob and len(s) >= 2 and mailtext.BASE64.fullmatch(s)
-            out.append(" " * len(line) if blob or tail else line)
-            run = 1 if blob else 0
-        text = "\n".join(out)
+        for first, end in mailtext.blob_runs(lines):
+            lines[first:end] = [" " * len(line) for line in lines[first:end]]
+        text = "\n".join(lines)
     if "=" not in text:
         return text, None
     soft = re.search(r"=\r?\n", text)
@@ -274,8 +269,8 @@ def plausible(kind: str, text: str) -> bool:
     return any(c.isdigit() for c in text)
 
 
-def people_in_headers(docs: DataFrame, text: str, most_docs: int = 3000) -> list[tuple[str, str]]:
-    """(given, family) names of senders and recipients in the headers of at most ``most_docs`` documents.
+def people_in_headers(docs: DataFrame, text: str, most_docs: int = 3000, most_names: int = 20_000) -> list[tuple[str, str]]:
+    """At most ``most_names`` (given, family) names of senders and recipients in the headers of at most ``most_docs`` documents.
 
     The sample is the documents with the smallest text hashes, so it is the same
     whatever the partitions; it is only used to fill the labelled table.
@@ -284,7 +279,7 @@ def people_in_headers(docs: DataFrame, text: str, most_docs: int = 3000) -> list
     head = F.substring_index(F.regexp_replace(t, "\r", ""), "\n\n", 1)
     sample = docs.where(t.isNotNull()).select(F.xxhash64(t).alias("h"), head.alias("head")).orderBy("h", "head").limit(most_docs)
     full = r'(?im)^(?:from|to|cc)\s*:[^\n]*?"?((?:[\p{L}\'’-]+ ){0,3}[\p{L}\'’-]+, [\p{L}-]+|[\p{L}-]+(?: [\p{L}\'’-]+){1,4})"? <'
-    names = sample.select(F.explode(F.regexp_extract_all("head", F.lit(full), 1)).alias("n")).distinct().orderBy("n").limit(20_000).collect()
+    names = sample.select(F.explode(F.regexp_extract_all("head", F.lit(full), 1)).alias("n")).distinct().orderBy("n").limit(most_names).collect()
     out = []
     for (n,) in names:
         family, given = n.split(", ", 1) if ", " in n else (n.partition(" ")[2], n.partition(" ")[0])

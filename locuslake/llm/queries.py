@@ -156,7 +156,7 @@ def p7_found(spark, sf_dir):
 def p7_records(spark, sf_dir):
     """One row per record: its first row, its copies, its number of coded values."""
     e = _encoded(spark, sf_dir)
-    return e.groupBy(F.col("first_id").alias("keep_id")).agg(F.count("*").alias("n_copies"), F.max(F.size("tuple") - 1).alias("n_values"))
+    return e.groupBy(F.col("first_id").alias("keep_id")).agg(F.count("*").alias("n_copies"), F.max(F.size("tuple.pairs")).alias("n_values"))
 
 
 # 8 - filling containers with texts

@@ -45,6 +45,18 @@ def test_records_in_other_spelling(spark):
     assert canonical.encode_records(df.limit(0), "raw_id", "st", "cgmlst").count() == 0
 
 
+def test_large_locus_numbers_stay_apart(spark):
+    rows = [(1, "5", "L1:7"), (2, "5", "L16777217:7"), (3, "5", "l00000001=7"), (4, "5", "L123456789012:7"), (5, "5", "l123456789012=7")]
+    got = {r.raw_id: r.first_id for r in canonical.encode_records(spark.createDataFrame(rows, "raw_id long, st string, cgmlst string"), "raw_id", "st", "cgmlst").collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
+def test_one_hub_of_most_pairs(spark):
+    pairs = spark.createDataFrame([(7, i) for i in range(100, 3100)] + [(3099, 5), (50, 51)], "u long, v long")
+    got = {r.vertex: r.group_id for r in components.hash_to_min(pairs).collect()}
+    assert len(got) == 3004 and got[51] == 50 and {v for k, v in got.items() if k not in (50, 51)} == {5}
+
+
 def test_long_record_is_read_whole(spark):
     a = "_".join(str(i) for i in range(3000))
     df = spark.createDataFrame([(1, "1", a), (2, "1", a.replace("_", ",")), (3, "1", a + "_x")], "raw_id long, st string, cgmlst string")
@@ -85,6 +97,27 @@ def test_votes_learn_which_source_is_wrong(spark):
     assert min(w["a"], w["b"]) > max(w["liar"], w["liar2"])
 
 
+def test_reliable_sources_overrule_a_weak_prior_but_not_its_limit(spark):
+    rows = [claim(g, g * 10 + i, s, T0 + dt.timedelta(days=1), "f", f"v{g}") for g in range(40) for i, s in enumerate(("a", "b", "c"))]
+    rows += [claim(g, g * 10 + 9, "boss", T0 + dt.timedelta(days=1), "f", f"w{g}" if g % 4 else f"v{g}") for g in range(40)]
+    trust = spark.createDataFrame([("boss", 1), ("a", 2), ("b", 3), ("c", 4)], "source string, rank int")
+    df = spark.createDataFrame(rows, CLAIMS)
+    pick = lambda **how: {r.group_id: r.value for r in consolidate.discover_truth(df, trust, **how)[0].collect()}
+    declared = {g: f"w{g}" if g % 4 else f"v{g}" for g in range(40)}
+    assert pick(vote="best") == declared
+    assert pick(prior=0.1) == {g: f"v{g}" for g in range(40)}
+    rel = {r.source: r.reliability for r in consolidate.discover_truth(df, trust, prior=0.1)[1].collect()}
+    assert rel["1"] < 0.4 < rel["2"]
+
+
+def test_learned_reliability_decides_between_equal_votes(spark):
+    rows = [claim(g, g * 10 + i, s, None, "f", f"v{g}") for g in range(30) for i, s in enumerate(("a", "b", "c"))] + [claim(g, g * 10 + 9, "liar", None, "f", f"w{g}") for g in range(30)]
+    # here two stand against two; the liar and the unknown have the smaller members
+    rows += [claim(99, m, s, None, "f", v) for m, s, v in ((1, "liar", "x"), (2, "d", "x"), (3, "a", "y"), (4, "b", "y"))]
+    truth, _ = consolidate.discover_truth(spark.createDataFrame(rows, CLAIMS))
+    assert {r.group_id: r.value for r in truth.collect()}[99] == "y"
+
+
 def test_known_text(spark):
     said = ["n/a", "N.A.", "Not known", "-", "", None, "12", "Norvale", "NA-7", " tbd "]
     df = spark.createDataFrame([(x,) for x in said], "c string")

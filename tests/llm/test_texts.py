@@ -106,6 +106,22 @@ def test_leaks_are_found_however_hidden(spark):
         leakage.find_leaks(df, items, max_items=1)
 
 
+def test_text_behind_a_binary_head_and_in_short_lines():
+    said = b"the quick brown fox jumps over the lazy dog while seven other animals look on"
+    body = base64.b64encode(bytes(range(14, 32)) * 60 + said + bytes(range(0, 9)) * 40).decode()
+    for width in (76, 32):
+        lines = "\n".join(body[i : i + width] for i in range(0, len(body), width))
+        got = mailtext.readings("Subject: x\n\n" + lines + "\n\nend")
+        assert any(b" lazy dog while seven other " in r for r in got)
+    assert mailtext.blob_runs(["Antoninus", "Bartholomew", "Constantine", "Alexandrina"]) == []
+
+
+def test_closest_window_is_reported():
+    item = [f"w{i}".encode() for i in range(40)]
+    doc = [b"x"] * 5 + item[9:21] + [b"y"] * 5
+    assert leakage.verified(doc, 5 + 3, item, 12, 4, 12, 1) == (0, 9)
+
+
 def test_base64_without_text_is_left_out():
     noise = base64.encodebytes(bytes(random.Random(1).randbytes(600))).decode()
     rest, inside = mailtext.cut_blobs("Hello\n\n" + noise + "\nBye")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin, unpin
-from .graph import components, spanning_forest, symmetrised, union_find
+from ..session import pin
+from .graph import block_forests, components, symmetrised
+from .hotkeys import number_within_key
 
 
 def labels_at(edges: DataFrame, nodes: DataFrame, level: float, strict: bool = False) -> DataFrame:
@@ -23,64 +22,18 @@ def labels_at(edges: DataFrame, nodes: DataFrame, level: float, strict: bool = F
 def hierarchy(edges: DataFrame, nodes: DataFrame, levels: list[int], block_edges: int = 200_000) -> DataFrame:
     """``id, level, cluster`` at each level, smallest member as name.
 
-    The spanning forest decides every level, so the pair table is read once, and
-    an edge is used at the first level it belongs to, between the clusters of the
-    level below. Levels that together have at most ``block_edges`` edges are one
-    bounded block; a level with more is solved on the cluster.
+    An edge that is the largest of a cycle decides no level, so blocks of edges
+    keep their forests only; all levels are then solved in the same rounds, each
+    with the edges that belong to it.
     """
     levels = sorted(set(levels))
     at = reduce(Column.__add__, [(F.col("w") > d).cast("int") for d in levels])
-    left = pin(spanning_forest(edges).select(F.col("u").alias("a"), F.col("v").alias("b"), at.alias("at")).where(F.col("at") < len(levels)), "left")
-    count = dict(left.groupBy("at").count().collect())  # one row per level
-    now = pin(nodes.select("id", F.col("id").alias("label")), "labels")
-    out = []
-    lo = 0
-    while lo < len(levels):
-        hi, n = lo + 1, count.get(lo, 0)
-        while hi < len(levels) and n + count.get(hi, 0) <= block_edges:
-            hi, n = hi + 1, n + count.get(hi, 0)
-        here = left.where(F.col("at") < hi)
-        if n <= block_edges:
-            solved = here.withColumn("blk", F.lit(0)).groupBy("blk").applyInArrow(_block(lo, hi), "old bigint, labels array<bigint>")
-        else:
-            solved = components(here.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("old"), F.array("label").alias("labels"))
-        solved = pin(solved, "solved")
-        step = now.join(solved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("labels", F.array_repeat("label", hi - lo)).alias("labels"))
-        out.append(step.select("id", F.posexplode("labels").alias("k", "cluster")).select("id", F.get(F.array(*[F.lit(d) for d in levels[lo:hi]]), F.col("k")).alias("level"), "cluster"))
-        if hi < len(levels):
-            now = pin(step.select("id", F.element_at("labels", -1).alias("label")), "labels")
-            new = solved.select("old", F.element_at("labels", -1).alias("new"))
-            ends = left.where(F.col("at") >= hi)
-            for c in ("a", "b"):
-                ends = ends.join(new, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
-            rest = pin(ends, "left")
-            unpin(left)
-            left = rest
-        lo = hi
-    return reduce(DataFrame.unionByName, out)
-
-
-def _block(lo: int, hi: int):
-    def solve(t: pa.Table) -> pa.Table:
-        ids, labels = nested_labels(t["a"].to_numpy(), t["b"].to_numpy(), t["at"].to_numpy(), lo, hi)
-        return pa.table({"old": ids, "labels": pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * (hi - lo), labels.ravel())})
-
-    return solve
-
-
-def nested_labels(a: np.ndarray, b: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, labels)`` of a bounded block of edges: a row per id, a column per level from ``lo`` to ``hi`` (excluded)."""
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = np.arange(len(ids))
-    labels = np.empty((len(ids), hi - lo), np.int64)
-    for level in range(lo, hi):
-        own = at == level
-        # the roots joined at this level take their smallest root as parent
-        old, new = union_find(parent[flat[: len(a)][own]], parent[flat[len(a) :][own]])
-        parent[old] = new
-        parent = parent[parent]
-        labels[:, level - lo] = ids[parent]
-    return ids, labels
+    kept = block_forests(edges, block_edges).select("u", "v", at.alias("at")).where(F.col("at") < len(levels))
+    steps = F.array(*[F.lit(d).cast("long") for d in levels])
+    each = kept.select("u", "v", F.explode(F.slice(steps, F.col("at") + 1, len(levels))).alias("level"))
+    lab = components(each, block_edges, by="level")
+    every = nodes.select("id", F.explode(steps).alias("level"))
+    return every.join(lab, ["id", "level"], "left").select("id", F.col("level").cast("int").alias("level"), F.coalesce("label", "id").alias("cluster"))
 
 
 def collapse_curve(forest: DataFrame, n_nodes: int) -> DataFrame:
@@ -119,8 +72,8 @@ def dbscan(edges: DataFrame, nodes: DataFrame, eps: float, min_samples: int) ->
     cc = near.join(core, F.col("i") == F.col("c"), "left_semi").join(core, F.col("j") == F.col("c"), "left_semi")
     lab = components(cc.where("i < j").select(F.col("i").alias("u"), F.col("j").alias("v")))
     cores = core.join(lab, F.col("c") == F.col("id"), "left").select(F.col("c").alias("id"), F.coalesce("label", "c").alias("root"))
-    # one row per cluster is numbered, not one per sample
-    number = cores.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
+    roots = cores.select("root").distinct().withColumn("one", F.lit(0))
+    number = number_within_key(roots, "one", ["root"]).select("root", F.col("_n").alias("label"))
     cores = pin(cores.join(number, "root").select("id", "label"), "cores")
     border = near.join(core, F.col("i") == F.col("c"), "left_anti").join(cores.withColumnRenamed("id", "j"), "j").groupBy("i").agg(F.min("label").alias("b"))
     out = nodes.select("id").join(cores, "id", "left").join(border, F.col("id") == F.col("i"), "left")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
+from .hotkeys import number_within_key
+
 
 def silhouettes(both: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``id, label, s`` over the pairs that are listed; ``both``: i, j, w in both directions.
@@ -68,15 +71,16 @@ def permutation_test(edges: DataFrame, labels: DataFrame, n_permutations: int =
     """One row: mean distance inside clusters, its mean and deviation under permuted labels, p and effect size.
 
     Permutation p gives the k-th sample in the order of md5(id-p) the label of
-    the k-th sample by id. Ranks come from one window per permutation, so the
-    permutations run in parallel.
+    the k-th sample by id. Ranks come from range-partitioned numbering, so no
+    permutation is tied to one task.
     """
-    perms = labels.select("id", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("p"))
-    shuffled = perms.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.md5(F.concat_ws("-", "id", "p")), "id")))
-    ranked = labels.join(labels.select(F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("p")).distinct(), F.lit(True)).withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("id"))).select("p", "r", "label")
-    lab = shuffled.join(ranked, ["p", "r"]).select("id", "p", "label")
+    labels = pin(labels.select("id", "label"), "labels")
+    perms = labels.select("id", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("p")).withColumn("h", F.md5(F.concat_ws("-", "id", "p")))
+    shuffled = number_within_key(perms, "p", ["h", "id"]).select("id", "p", "_n")
+    ranked = number_within_key(labels.withColumn("one", F.lit(0)), "one", ["id"]).select("_n", "label")
+    lab = pin(shuffled.join(ranked, "_n").select("id", "p", "label"), "shuffled")
     stat = lambda df: df.where("lu = lv").groupBy("p").agg(F.avg("w").alias("m"))
-    null = stat(edges.join(lab.select(F.col("id").alias("u"), "p", F.col("label").alias("lu")), "u").join(lab.select(F.col("id").alias("v"), F.col("p").alias("p2"), F.col("label").alias("lv")), "v").where("p = p2"))
+    null = stat(edges.join(lab.select(F.col("id").alias("u"), "p", F.col("label").alias("lu")), "u").join(lab.select(F.col("id").alias("v"), "p", F.col("label").alias("lv")), ["v", "p"]))
     one = labels.withColumn("p", F.lit(0))
     real = stat(edges.join(one.select(F.col("id").alias("u"), "p", F.col("label").alias("lu")), "u").join(one.select(F.col("id").alias("v"), F.col("label").alias("lv")), "v"))
     t = null.crossJoin(F.broadcast(real.select(F.col("m").alias("real"))))  # one row

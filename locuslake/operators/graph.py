@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce as reduce_frames
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin, unpin
+from .hotkeys import number_within_key
 
 
 def valid_edges(dist: DataFrame, w: str = "d0") -> DataFrame:
@@ -29,83 +32,119 @@ def knn_edges(edges: DataFrame, k: int) -> DataFrame:
     return near.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), "w").distinct()
 
 
-def components(edges: DataFrame, block_edges: int = 200_000, max_rounds: int = 60) -> DataFrame:
-    """``id, label``: smallest id of the component, for every id with an edge.
+def _blocks(df: DataFrame, solve, schema: str, rows: int) -> DataFrame:
+    """``solve`` on blocks of about ``rows`` rows of each partition, as they come: no shuffle, bounded memory."""
 
-    Up to ``block_edges`` distinct edges are one bounded block. More are solved
-    on the cluster: minimum labels spread over the edges and are short-cut
-    through the label's own label, so the rounds grow with the logarithm of the
-    diameter; each round is pinned and the loop ends when no label changes.
-    """
-    e = pin(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    if e.count() <= block_edges:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                held.append(batch.slice(start, rows))
+                n += held[-1].num_rows
+                if n >= rows:
+                    yield from solve(pa.Table.from_batches(held)).to_batches()
+                    held, n = [], 0
+        if n:
+            yield from solve(pa.Table.from_batches(held)).to_batches()
+
+    return df.mapInArrow(run, schema)
 
-        def solve(t: pa.Table) -> pa.Table:
-            ids, label = union_find(t["u"].to_numpy(), t["v"].to_numpy())
-            return pa.table({"id": ids, "label": label})
 
-        return e.withColumn("blk", F.lit(0)).groupBy("blk").applyInArrow(solve, "id bigint, label bigint")
-    both = pin(symmetrised(e.withColumn("w", F.lit(0))).select(F.col("i").alias("a"), F.col("j").alias("b")), "both")
-    now = pin(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
+def components(edges: DataFrame, block_edges: int = 200_000, max_rounds: int = 60, by: str | None = None) -> DataFrame:
+    """``id, label``: smallest id of the component, for every id with an edge; one solution per value of ``by`` if given.
+
+    Blocks of edges, wherever they lie, are first replaced by stars around the
+    smallest id of what the block connects. Then minimum labels spread over the
+    stars and are short-cut through the label's own label, so the rounds grow with
+    the logarithm of the diameter; each round is pinned and the loop ends when no
+    label changes.
+    """
+    k = [by] if by else []
+
+    def stars(t: pa.Table) -> pa.Table:
+        u, v = t["u"].to_numpy(), t["v"].to_numpy()
+        if not by:
+            ids, label = union_find(u, v)
+            far = ids != label
+            return pa.table({"a": label[far], "b": ids[far]})
+        key = t["k"].to_numpy()
+        rows, flat = np.unique(np.stack([np.concatenate([key, key]), np.concatenate([u, v])], 1), axis=0, return_inverse=True)
+        ids, label = union_find(flat[: len(u)], flat[len(u) :])
+        far = ids != label
+        return pa.table({"k": rows[ids[far], 0], "a": rows[label[far], 1], "b": rows[ids[far], 1]})
+
+    long = lambda c, n: F.col(c).cast("long").alias(n)
+    slim = edges.where("u <> v").select(*[long(c, "k") for c in k], long("u", "u"), long("v", "v"))
+    star = _blocks(slim, stars, ("k bigint, " if by else "") + "a bigint, b bigint", block_edges)
+    on = ["k"] if by else []
+    both = pin(star.select(*on, F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(*on, "e.a", "e.b").distinct(), "both")
+    now = pin(both.groupBy(*on, "a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
     for _ in range(max_rounds):
-        seen = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        low = now.join(seen, F.col("id") == F.col("a"), "left").select("id", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
-        hop = now.select(F.col("id").alias("h"), F.col("label").alias("hop"))
-        new = pin(low.join(hop, F.col("low") == F.col("h")).select("id", F.least("low", "hop").alias("label"), (F.least("low", "hop") < F.col("label")).alias("moved")), "labels")
+        seen = both.join(now.withColumnRenamed("id", "b"), [*on, "b"]).groupBy(*on, "a").agg(F.min("label").alias("low")).withColumnRenamed("a", "id")
+        low = now.join(seen, [*on, "id"], "left").select(*on, "id", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
+        hop = now.select(*on, F.col("id").alias("low"), F.col("label").alias("hop"))
+        new = pin(low.join(hop, [*on, "low"]).select(*on, "id", F.least("low", "hop").alias("label"), (F.least("low", "hop") < F.col("label")).alias("moved")), "labels")
         moved = new.where("moved").limit(1).count()
         unpin(now)
         now = new
         if not moved:
-            return now.select("id", "label")
+            unpin(both)
+            return now.select(*[F.col("k").alias(by) for _ in on], "id", "label")
     raise RuntimeError(f"not stable after {max_rounds} rounds")
 
 
-def spanning_forest(edges: DataFrame, block_edges: int = 200_000) -> DataFrame:
-    """Minimum spanning forest ``u, v, w`` under the total order (w, u, v), which makes it unique.
+def block_forests(edges: DataFrame, block_edges: int = 200_000) -> DataFrame:
+    """``u, v, w`` without edges that are the largest of a cycle in their block, and so in the whole graph."""
 
-    First every block of edges keeps its own forest: an edge that is the largest
-    of a cycle in its block is so in the whole graph. Edges are dealt by coarse
-    buckets of both ends, so blocks share vertices and shrink. What is left is
-    one bounded block, or is solved by Boruvka rounds on the cluster: every
-    component adds its least outgoing edge and is joined along it.
-    """
-    now = pin(edges.select("u", "v", F.col("w").cast("double").alias("w")), "msf")
-    n = now.count()
-    while True:
-        side = 1
-        while side * (side + 1) // 2 * block_edges < n:
-            side += 1
-        a, b = F.pmod(F.xxhash64("u"), F.lit(side)), F.pmod(F.xxhash64("v"), F.lit(side))
-
-        def reduce(t: pa.Table) -> pa.Table:
-            u, v, w = (t[c].to_numpy() for c in ("u", "v", "w"))
-            keep = kruskal(u, v, w)
-            return pa.table({"u": u[keep], "v": v[keep], "w": w[keep]})
-
-        new = pin(now.withColumn("blk", F.least(a, b) * side + F.greatest(a, b)).groupBy("blk").applyInArrow(reduce, "u bigint, v bigint, w double"), "msf")
-        unpin(now)
-        before, now, n = n, new, new.count()
-        if side == 1:
-            return now
-        if n > 0.7 * before:
-            return _boruvka(now)
+    def reduce(t: pa.Table) -> pa.Table:
+        u, v, w = (t[c].to_numpy() for c in ("u", "v", "w"))
+        keep = kruskal(u, v, w)
+        return pa.table({"u": u[keep], "v": v[keep], "w": w[keep]})
+
+    slim = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w"))
+    return _blocks(slim, reduce, "u bigint, v bigint, w double", block_edges)
 
 
-def _boruvka(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    left = pin(edges.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), "left")
-    chosen = None
+def spanning_forest(edges: DataFrame, block_edges: int = 200_000, max_rounds: int = 60) -> DataFrame:
+    """Minimum spanning forest ``u, v, w`` under the total order (w, u, v), which makes it unique.
+
+    Every block of edges first keeps its own forest. What is left is solved by
+    Boruvka rounds on the cluster: each component hooks on along its least outgoing
+    edge, chains of hooks are cut short by pointer doubling, and the edges between
+    the joined components go on. Rounds and doublings grow with the logarithm of
+    the vertices; each is pinned.
+    """
+    left = pin(block_forests(edges, block_edges).select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), "left")
+    chosen: list[DataFrame] = []
     for _ in range(max_rounds):
-        ends = left.select(F.explode(F.array("a", "b")).alias("c"), F.struct("w", "u", "v", "a", "b").alias("e"))
-        new = pin(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "chosen")
-        chosen = new if chosen is None else pin(chosen.unionByName(new), "chosen")
-        lab = pin(components(new.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
-        la, lb = lab.select(F.col("id").alias("a"), F.col("label").alias("na")), lab.select(F.col("id").alias("b"), F.col("label").alias("nb"))
-        nxt = left.join(la, "a").join(lb, "b").where("na <> nb").select("u", "v", "w", F.col("na").alias("a"), F.col("nb").alias("b"))
-        nxt = pin(nxt.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("e")).select("e.u", "e.v", "e.w", "a", "b"), "left")
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("x"), "w", "u", "v")
+        hook = pin(ends.groupBy("x.c").agg(F.min(F.struct("w", "u", "v", "x.o")).alias("e")).select("c", "e.*"), "hook")
+        chosen.append(hook.select("u", "v", "w"))
+        if not hook.limit(1).count():
+            unpin(left)
+            return reduce_frames(DataFrame.unionByName, chosen).distinct()
+        # two components that chose each other chose the same edge; the smaller becomes the root
+        other = hook.select(F.col("c").alias("o"), F.col("o").alias("back"))
+        up = pin(hook.join(other, "o").select(F.col("c").alias("id"), F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("up")), "up")
+        for _ in range(max_rounds):
+            step = lambda n: up.select(F.col("id").alias(f"s{n}"), F.col("up").alias(f"t{n}"))  # noqa: E731, B023
+            far = up.join(step(1), F.col("up") == F.col("s1")).join(step(2), F.col("t1") == F.col("s2")).join(step(3), F.col("t2") == F.col("s3"))
+            new = pin(far.select("id", F.col("t3").alias("up"), (F.col("t3") != F.col("up")).alias("moved")), "up")
+            moved = new.where("moved").limit(1).count()
+            unpin(up)
+            up = new.select("id", "up")
+            up._pinned_at = new._pinned_at
+            if not moved:
+                break
+        else:
+            raise RuntimeError(f"hooks not joined after {max_rounds} doublings")
+        la, lb = up.select(F.col("id").alias("a"), F.col("up").alias("na")), up.select(F.col("id").alias("b"), F.col("up").alias("nb"))
+        nxt = left.join(la, "a").join(lb, "b").where("na <> nb").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("e"))
+        nxt = pin(nxt.select("e.u", "e.v", "e.w", "a", "b"), "left")
         unpin(left)
+        unpin(up)
         left = nxt
-        if not left.limit(1).count():
-            return chosen.select("u", "v", "w")
     raise RuntimeError(f"forest not complete after {max_rounds} rounds")
 
 
@@ -219,10 +258,17 @@ def _from_root(tree: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"paths not done after {max_rounds} rounds")
 
 
+def _numbered(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` with ``rank``, the place by id among the rows of one key, and their number ``n``; a key of very many rows takes many tasks."""
+    placed = number_within_key(df.withColumn("_key", F.xxhash64(*key)), "_key", [*key, "id"])
+    n = placed.groupBy("_key").agg(F.count("*").alias("n"))
+    return placed.join(n, "_key").withColumnRenamed("_n", "rank").drop("_key")
+
+
 def _ranked(levels: DataFrame) -> DataFrame:
-    """``levels`` with ``rank`` among the children of a parent (by id) and their number ``n``."""
-    w = Window.partitionBy("parent", "root")
-    return levels.withColumn("rank", F.row_number().over(w.orderBy("id")) - 1).withColumn("n", F.count("*").over(w))
+    """``levels`` with ``rank`` among the children of a parent (by id) and their number ``n``; roots are alone."""
+    child = _numbered(levels.where("depth > 0"), ["parent"])
+    return child.unionByName(levels.where("depth = 0").withColumns({"rank": F.lit(0).cast("long"), "n": F.lit(1).cast("long")}))
 
 
 def _below(top, child):
@@ -248,8 +294,5 @@ def radial_layout(levels: DataFrame) -> DataFrame:
 
 def hierarchical_layout(levels: DataFrame) -> DataFrame:
     """``id, x, y``: breadth-first levels, spread two units apart."""
-    w = Window.partitionBy("root", "depth")
-    i = F.row_number().over(w.orderBy("id")) - 1
-    return levels.select("id", ((i - F.count("*").over(w) / 2.0) * 2).alias("x"), (-2.0 * F.col("depth")).alias("y"))
-
-
+    ranked = _numbered(levels, ["root", "depth"])
+    return ranked.select("id", ((F.col("rank") - F.col("n") / 2.0) * 2).alias("x"), (-2.0 * F.col("depth")).alias("y"))

@@ -46,17 +46,19 @@ def chunked_key_stats(
     members: str | None = None,
     chunk_rows: int = 50_000,
     partitions: int | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Rows, distinct values and latest time for every key, with no key tied to one task.
 
     Result: ``key, n_rows, n_<distinct>, n_<members>, latest, n_chunks``. Nulls in
     ``distinct``/``members`` count as rows but not as values; an all-null
     ``latest`` gives null; an empty table gives no rows; other columns are
-    ignored, whatever their names.
+    ignored, whatever their names. Rows of one key and one value (nulls above all)
+    are parted by ``tie``, a column that tells rows apart, or else by their hash.
     """
     cols = {"k": key, "d": distinct, "t": latest} | ({"m": members} if members else {})
-    slim = df.select(*[F.col(f"`{c}`").alias(a) for a, c in cols.items()])
-    rows = number_within_key(slim, "k", ["d"], partitions).withColumn("chunk", F.floor(F.col("_n") / chunk_rows))
+    slim = df.select(*[F.col(f"`{c}`").alias(a) for a, c in cols.items()], (F.col(f"`{tie}`") if tie else F.xxhash64(*[F.col(f"`{c}`") for c in cols.values()])).alias("tie"))
+    rows = number_within_key(slim, "k", ["d", "tie"], partitions).withColumn("chunk", F.floor(F.col("_n") / chunk_rows))
     states = rows.groupBy("k", "chunk", "d").agg(F.count("*").alias("c"), F.max("t").alias("t"), *([F.collect_set("m").alias("ms")] if members else []))
     states = states.groupBy("k", "chunk").agg(
         F.sum("c").alias("n"),

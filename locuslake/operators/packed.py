@@ -7,9 +7,10 @@
     bare    <- a letter, a digit or one of the extra token characters
     sep     <- ws? (any other character) ws?  /  ws
 
-Alternatives are ordered. A quote or bracket that never closes fails its
-alternative; the parser backtracks to the character itself, which then
-separates, and flags the place that follows with ``malformed``.
+Alternatives are ordered, and a repeat gives nothing back: a doubled quote is
+never split. A quote or bracket that never closes fails its alternative; the
+parser backtracks to the character itself, which then separates, and flags the
+place that holds the rest of it with ``malformed``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ TOKEN_CHARS = "~.:=-"
 def grammar(token_chars: str = TOKEN_CHARS, brackets: str = "") -> re.Pattern:
     """The lexeme alternatives in order; ``brackets`` lists opening and closing characters in turn."""
     extra = re.escape(token_chars)
-    alts = [r'"(?P<dq>(?:[^"]|"")*)"', r"'(?P<sq>(?:[^']|'')*)'"]
+    alts = [r'"(?P<dq>(?:[^"]|"")*+)"', r"'(?P<sq>(?:[^']|'')*+)'"]
     pairs = [brackets[i : i + 2] for i in range(0, len(brackets), 2)]
     if pairs:
         alts.append("(?P<br>" + "|".join(f"{re.escape(a)}[^{re.escape(b)}]*{re.escape(b)}" for a, b in pairs) + ")")
@@ -37,7 +38,10 @@ def grammar(token_chars: str = TOKEN_CHARS, brackets: str = "") -> re.Pattern:
     return re.compile("|".join(alts), re.S)
 
 
-def parse_field(text: str | None, pattern: re.Pattern) -> list[tuple[int, str, str, bool]]:
+_LONE = re.compile("(?P<lone>.)", re.S)
+
+
+def parse_field(text: str | None, pattern: re.Pattern, brackets: str = "") -> list[tuple[int, str, str, bool]]:
     """``(pos, token, kind, malformed)`` for each place, empty ones too; null gives none."""
     if text is None:
         return []
@@ -47,8 +51,13 @@ def parse_field(text: str | None, pattern: re.Pattern) -> list[tuple[int, str, s
     out, pos, at, n = [], 1, 0, len(text)
     parts: list[str] = []
     kind, bad = "", False
+    last = {brackets[i]: text.rfind(brackets[i + 1]) for i in range(0, len(brackets), 2)}  # no closer beyond: not looked for
+
+    def lexeme(at: int) -> re.Match | None:
+        return pattern.match(text, at) if last.get(text[at], n) > at else _LONE.match(text, at)
+
     while at < n:
-        m = pattern.match(text, at)
+        m = lexeme(at)
         name = m.lastgroup if m else "sep"
         at = m.end() if m else at + 1
         if name == "bare":
@@ -67,7 +76,7 @@ def parse_field(text: str | None, pattern: re.Pattern) -> list[tuple[int, str, s
             while at < n and text[at].isspace():
                 at += 1
             if name == "ws" and at < n:
-                m = pattern.match(text, at)
+                m = lexeme(at)
                 if m and m.lastgroup in ("sep", "lone"):
                     bad = m.lastgroup == "lone"
                     at = m.end()
@@ -103,7 +112,7 @@ def split_packed(df: DataFrame, field: str, keep: list[str], token_chars: str =
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                places = [parse_field(t, pattern) for t in part.column(len(names)).to_pylist()]
+                places = [parse_field(t, pattern, brackets) for t in part.column(len(names)).to_pylist()]
                 take = pa.array([i for i, ps in enumerate(places) for _ in ps], pa.int64())
                 flat = [p for ps in places for p in ps]
                 cols = [part.column(i).take(take) for i in range(len(names))]

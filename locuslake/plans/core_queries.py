@@ -32,8 +32,8 @@ ORG_KEY_SQL = r"coalesce(nullif(regexp_replace(organismid, '^[\s\p{Z}\x{0b}\x{1c
 
 
 def _organism_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "cgmlst_supp_species").select(organism_key(F.col("organismid")).alias("organism_key"), "sample_idx", "uploader", "loaded_at")
-    return hotkeys.chunked_key_stats(rows, "organism_key", "sample_idx", "loaded_at", members="uploader")
+    rows = table(spark, sf_dir, "cgmlst_supp_species").select(organism_key(F.col("organismid")).alias("organism_key"), "sample_idx", "uploader", "loaded_at", "row_id")
+    return hotkeys.chunked_key_stats(rows, "organism_key", "sample_idx", "loaded_at", members="uploader", tie="row_id")
 
 
 @query(f"""SELECT organism_key FROM (SELECT {ORG_KEY_SQL} AS organism_key, count(*) AS n FROM cgmlst_supp_species GROUP BY 1)

@@ -33,10 +33,12 @@ def build_session(app: str = "locuslake", master: str | None = None, shuffle_par
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for pinned tables: the cluster's ``spark.checkpoint.dir``, or a fresh one where that is unset."""
+    """The folder for pinned tables: the cluster's ``spark.checkpoint.dir``, or a fresh one where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every node can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="locuslake-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/locuslake-{sc.applicationId}"

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import organism_key
-from ..operators.cluster import labels_at
-from ..operators.graph import valid_edges
+from ..operators.graph import components, valid_edges
+from ..session import pin, unpin
 from ..sources.writers import split_by_organism
 
 
@@ -28,17 +28,36 @@ def split_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def assignment_sink(path: str, level: int) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function for streams of compared pairs: merges the new edges with those kept and labels again.
+    """A ``foreachBatch`` function for streams of compared pairs: joins clusters along the new edges within the level.
 
-    Only the edges within the level are kept, in ``path``/edges/epoch=N; labels go to ``path``/labels/epoch=N.
+    Edges go to ``path``/edges/epoch=N, labels of all samples so far to
+    ``path``/labels/epoch=N. Only the new edges are solved, between the labels of
+    the epoch before; a repeated batch replaces its own folders.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = valid_edges(batch).where(F.col("w") <= level)
+        fresh = pin(valid_edges(batch).where(F.col("w") <= level), "fresh")
         fresh.write.mode("overwrite").parquet(f"{path}/edges/epoch={epoch}")
-        edges = spark.read.parquet(f"{path}/edges").where(F.col("epoch") <= epoch).groupBy("u", "v").agg(F.min("w").alias("w"))
-        nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        labels_at(edges, nodes, level).write.mode("overwrite").parquet(f"{path}/labels/epoch={epoch}")
+        ids = fresh.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        before = spark.createDataFrame([], "id bigint, label bigint")
+        if epoch > 0 and _exists(spark, f"{path}/labels"):
+            kept = spark.read.parquet(f"{path}/labels").where(F.col("epoch") < epoch)
+            newest = kept.agg(F.max("epoch")).first()[0]
+            if newest is not None:
+                before = kept.where(F.col("epoch") == newest).select("id", "label")
+        now = before.unionByName(ids.join(before, "id", "left_anti").select("id", F.col("id").alias("label")))
+        now = pin(now, "labels")
+        of = lambda c: now.select(F.col("id").alias(c), F.col("label").alias(f"{c}{c}"))
+        joined = components(fresh.join(of("u"), "u").join(of("v"), "v").select(F.col("uu").alias("u"), F.col("vv").alias("v"))).withColumnsRenamed({"id": "old", "label": "new"})
+        out = now.join(joined, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+        out.write.mode("overwrite").parquet(f"{path}/labels/epoch={epoch}")
+        unpin(fresh)
+        unpin(now)
 
     return write
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -43,3 +43,11 @@ def test_empty_table(spark):
 def test_organism_key(spark):
     df = spark.createDataFrame([("  x y\t\r\n",), ("",), ("  ",), (None,), (" z",)], "o string")
     assert [r[0] for r in df.select(organism_key(F.col("o"))).collect()] == ["x y", "unknown", "unknown", "unknown", "z"]
+
+
+def test_key_of_nulls_only_is_parted(spark):
+    df = spark.range(4000).select(F.lit("hot").alias("key"), F.lit(None).cast("int").alias("d"), F.lit(None).cast("timestamp").alias("t"), F.col("id").alias("row"))
+    placed = hotkeys.number_within_key(df, "key", ["d", "row"], 8).select("_n", F.spark_partition_id().alias("p"))
+    assert placed.agg(F.count_distinct("_n")).first()[0] == 4000
+    r = hotkeys.chunked_key_stats(df, "key", "d", "t", chunk_rows=100, partitions=8, tie="row").collect()
+    assert [(x["n_rows"], x["n_d"], x["latest"], x["n_chunks"]) for x in r] == [(4000, 0, None, 40)]

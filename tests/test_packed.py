@@ -59,3 +59,14 @@ def test_split_packed_frame(spark):
     assert packed.split_packed(df.limit(0), "field", ["raw_id"]).count() == 0
     with pytest.raises(ValueError, match="clash"):
         packed.split_packed(df.withColumnRenamed("token2", "token"), "field", ["token"])
+
+
+def test_doubled_quote_is_not_split_and_brackets_stay_linear():
+    import time
+
+    pattern = packed.grammar()
+    assert packed.parse_field('"a""b"', pattern) == [(1, 'a"b', "quoted", False)]
+    assert packed.parse_field('"a""b', pattern) == [(1, "", "empty", False), (2, "ab", "mixed", True)]
+    t = time.time()
+    places = packed.parse_field("[a " * 60_000, packed.grammar(brackets="[]"), "[]")
+    assert time.time() - t < 5 and sum(p[1] == "a" for p in places) == 60_000

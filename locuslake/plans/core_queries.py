@@ -352,13 +352,28 @@ def _step(spark, sf_dir):
     return 10 if _nodes(spark, sf_dir).count() >= 1000 else 1
 
 
-@query()
+def _every_level(where: str = "true") -> str:
+    """Common tables up to ``h``: id, level, cluster, at every level from 0 to 64 that ``where`` allows."""
+    return (
+        "WITH RECURSIVE " + BOTH_SQL + f", lv AS (SELECT level FROM (SELECT unnest(range(0, 65))::INT AS level) WHERE {where}), s AS (SELECT level, i AS a, j AS b FROM b JOIN lv ON b.w <= lv.level), "
+        "t AS (SELECT level, a AS id, a AS label FROM s UNION SELECT s.level, s.b, t.label FROM t JOIN s ON s.a = t.id AND s.level = t.level WHERE t.label < s.b), g AS (SELECT level, id, min(label) AS label FROM t GROUP BY 1, 2), "
+        "h AS (SELECT p.sample_idx AS id, lv.level, coalesce(g.label, p.sample_idx) AS cluster FROM cgmlst_profile p CROSS JOIN lv LEFT JOIN g ON g.id = p.sample_idx AND g.level = lv.level)"
+    )
+
+
+EVALUATED = "level % (CASE WHEN (SELECT count(*) FROM cgmlst_profile) >= 1000 THEN 10 ELSE 1 END) = 0"
+#: merges at each weight are the groups below it less the groups at it
+MERGES_SQL = _every_level() + ", k AS (SELECT level AS w, count(DISTINCT cluster) AS n_at FROM h GROUP BY 1), m AS (SELECT w, coalesce(lag(n_at) OVER (ORDER BY w), (SELECT count(*) FROM cgmlst_profile)) AS n_before, n_at FROM k)"
+CURVE_SQL = MERGES_SQL + ", c AS (SELECT w::DOUBLE AS w, n_before AS n_clusters FROM m WHERE n_before > n_at)"
+
+
+@query(_every_level() + " SELECT id, level, cluster FROM h")
 def hierarchy_all_levels(spark, sf_dir):
     """Cluster of every sample at every level from 0 to the number of loci, all from one spanning forest."""
     return cluster.hierarchy(_edges(spark, sf_dir), _nodes(spark, sf_dir), ALL_LEVELS)
 
 
-@query()
+@query(_every_level() + " SELECT level, count(DISTINCT cluster) AS n_groups FROM h GROUP BY 1")
 def all_level_group_counts(spark, sf_dir):
     """Groups at every level."""
     return hierarchy_all_levels(spark, sf_dir).groupBy("level").agg(F.count_distinct("cluster").alias("n_groups"))
@@ -370,20 +385,21 @@ def spanning_forest(spark, sf_dir):
     return graph.spanning_forest(_edges(spark, sf_dir))
 
 
-@query()
+@query(MERGES_SQL + ", x AS (SELECT unnest(list_transform(range(0, n_before - n_at), lambda i: w::DOUBLE)) AS w FROM m WHERE n_before > n_at) SELECT count(*) AS n, min(w) AS least, max(w) AS most, round(avg(w), 6) AS mean, quantile_cont(w, 0.5) AS median FROM x")
 def merge_heights(spark, sf_dir):
     """Range, mean and median of the heights at which clusters merge."""
     f = graph.spanning_forest(_edges(spark, sf_dir))
     return f.agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most"), F.round(F.avg("w"), 6).alias("mean"), F.percentile("w", F.lit(0.5)).alias("median"))
 
 
-@query()
+@query(CURVE_SQL + " SELECT w, n_clusters FROM c")
 def collapse_curve(spark, sf_dir):
     """Clusters left below each forest weight."""
     return cluster.collapse_curve(graph.spanning_forest(_edges(spark, sf_dir)), _nodes(spark, sf_dir).count())
 
 
-@query()
+@query(CURVE_SQL + """, q AS (SELECT floor(0.6::DOUBLE * count(*))::BIGINT AS target FROM cgmlst_profile), y AS (SELECT *, min(n_clusters) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
+SELECT w AS threshold, n_clusters FROM y, q WHERE before IS NULL OR before > target ORDER BY abs(n_clusters - target), w LIMIT 1""")
 def collapse_to_target(spark, sf_dir):
     """The threshold that leaves about 60 % of the samples as clusters."""
     n = _nodes(spark, sf_dir).count()
@@ -396,19 +412,22 @@ def top_jumps(spark, sf_dir):
     return cluster.top_jumps(_edges(spark, sf_dir).select(F.col("w").alias("h")))
 
 
-@query(f"""WITH RECURSIVE {BOTH_SQL}, c AS (SELECT i AS c FROM b WHERE w <= 7 GROUP BY 1 HAVING count(*) + 1 >= 5),
+DBSCAN_SQL = f"""WITH RECURSIVE {BOTH_SQL}, c AS (SELECT i AS c FROM b WHERE w <= 7 GROUP BY 1 HAVING count(*) + 1 >= 5),
 s AS (SELECT i AS a, j AS b FROM b WHERE w <= 7 AND i IN (SELECT c FROM c) AND j IN (SELECT c FROM c)),
 t AS (SELECT c AS id, c AS label FROM c UNION SELECT s.b, t.label FROM t JOIN s ON s.a = t.id WHERE t.label < s.b), g AS (SELECT id, min(label) AS root FROM t GROUP BY 1),
 k AS (SELECT id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS label FROM g),
 o AS (SELECT b.i AS id, min(k.label) AS label FROM b JOIN k ON k.id = b.j WHERE w <= 7 AND b.i NOT IN (SELECT c FROM c) GROUP BY 1)
 SELECT p.sample_idx AS id, coalesce(k.label, o.label, -1)::INT AS label, CASE WHEN k.label IS NOT NULL THEN 'core' WHEN o.label IS NOT NULL THEN 'border' ELSE 'noise' END AS role
-FROM cgmlst_profile p LEFT JOIN k ON k.id = p.sample_idx LEFT JOIN o ON o.id = p.sample_idx""")
+FROM cgmlst_profile p LEFT JOIN k ON k.id = p.sample_idx LEFT JOIN o ON o.id = p.sample_idx"""
+
+
+@query(DBSCAN_SQL)
 def dbscan_labels(spark, sf_dir):
     """Density clusters at distance 7 with five samples."""
     return cluster.dbscan(_edges(spark, sf_dir), _nodes(spark, sf_dir), 7, 5)
 
 
-@query()
+@query("SELECT CASE WHEN label = -1 THEN 'Noise' ELSE label::VARCHAR END AS cluster, count(*) AS n FROM (" + DBSCAN_SQL + ") GROUP BY 1")
 def dbscan_sizes(spark, sf_dir):
     """Sizes of the density clusters, noise named."""
     lab = dbscan_labels(spark, sf_dir)
@@ -445,7 +464,10 @@ def silhouette_samples(spark, sf_dir):
     return evaluate.silhouettes(graph.symmetrised(e), lab)
 
 
-@query()
+@query(_every_level(EVALUATED) + """, z AS (SELECT level, cluster, count(*) AS m FROM h GROUP BY 1, 2), d AS (SELECT c.level, b.i, c.cluster AS lj, avg(w) AS m FROM b JOIN h c ON c.id = b.j GROUP BY 1, 2, 3),
+ab AS (SELECT d.level, d.i, max(CASE WHEN a.cluster = d.lj THEN d.m END) AS a, min(CASE WHEN a.cluster <> d.lj THEN d.m END) AS b FROM d JOIN h a ON a.id = d.i AND a.level = d.level GROUP BY 1, 2),
+y AS (SELECT h.level, round(CASE WHEN z.m = 1 OR ab.a IS NULL OR ab.b IS NULL OR greatest(ab.a, ab.b) = 0 THEN 0 ELSE (ab.b - ab.a) / greatest(ab.a, ab.b) END, 6)::DOUBLE AS s FROM h JOIN z ON z.level = h.level AND z.cluster = h.cluster LEFT JOIN ab ON ab.i = h.id AND ab.level = h.level)
+SELECT level, round(avg(s), 6) AS silhouette FROM y GROUP BY 1""")
 def silhouette_levels(spark, sf_dir):
     """Mean silhouette at each evaluated level."""
     e = pin(_edges(spark, sf_dir), "edges")
@@ -465,7 +487,8 @@ def nmi_country_lab(spark, sf_dir):
     return evaluate.mutual_information(lab("country"), lab("lab_code"))
 
 
-@query()
+@query(_every_level(EVALUATED) + """, z AS (SELECT level, cluster, count(*)::DOUBLE AS c FROM h GROUP BY 1, 2), e1 AS (SELECT level, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM z GROUP BY 1), e2 AS (SELECT level, CASE WHEN h > 1e-12 THEN h ELSE 0 END AS h FROM e1)
+SELECT a.level AS level1, c.level AS level2, round(least(greatest(CASE WHEN a.h + c.h <= 0 THEN 1 ELSE 2 * c.h / (a.h + c.h) END, 0), 0.999), 6)::DOUBLE AS nmi FROM e2 a JOIN e2 c ON a.level < c.level""")
 def nmi_levels(spark, sf_dir):
     """Mutual information of every two evaluated levels of the hierarchy."""
     return evaluate.nested_information(cluster.hierarchy(_edges(spark, sf_dir), _nodes(spark, sf_dir), ALL_LEVELS[:: _step(spark, sf_dir)]))
@@ -512,7 +535,11 @@ def plateaus(spark, sf_dir):
     return series.plateaus(_series(spark, sf_dir), 2e-3, 2)
 
 
-@query()
+@query(SERIES_SQL + """, r AS (SELECT *, sum(CASE WHEN x = px THEN 0 ELSE 1 END) OVER (ORDER BY idx) AS run FROM (SELECT *, lag(x) OVER (ORDER BY idx) AS px FROM y)),
+u AS (SELECT run, floor((min(idx) + max(idx)) / 2)::BIGINT AS idx, min(x) AS x, min(idx) AS lo, max(idx) AS hi FROM r GROUP BY 1), v AS (SELECT *, lag(x) OVER (ORDER BY run) AS l, lead(x) OVER (ORDER BY run) AS n FROM u),
+k AS (SELECT v.idx, v.x, coalesce((SELECT max(y.idx) FROM y WHERE y.idx < v.lo AND y.x > v.x), -1) AS bl, coalesce((SELECT min(y.idx) FROM y WHERE y.idx > v.hi AND y.x > v.x), 1000) AS br FROM v WHERE x > l AND x > n AND x >= 0.0005),
+o AS (SELECT k.idx, k.x, round(k.x - greatest((SELECT min(y.x) FROM y WHERE y.idx > k.bl AND y.idx <= k.idx), (SELECT min(y.x) FROM y WHERE y.idx >= k.idx AND y.idx < k.br)), 6) AS prominence FROM k)
+SELECT idx, x, prominence FROM o WHERE prominence >= 0.0001""")
 def peaks(spark, sf_dir):
     """Peaks of the distance histogram."""
     return series.peaks(_series(spark, sf_dir), 0.0005, 0.0001)

@@ -1,4 +1,4 @@
-"""Command line: cluster a table of compared pairs, split submissions, generate profiles."""
+"""Command line: cluster profiles or a table of compared pairs, split submissions, generate profiles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import organism_key
 from .operators import cluster, graph
+from .plans import pipeline
 from .session import build_session
 from .sources import generators, writers
 
@@ -20,6 +21,12 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("pairs")
     c.add_argument("out")
     c.add_argument("--levels", type=int, nargs="+", default=[0, 3, 7, 12, 20])
+    r = sub.add_parser("run", help="levels, group counts and collapsed clusters of a profile table (parquet: sample_idx, alleles)")
+    r.add_argument("profiles")
+    r.add_argument("out")
+    r.add_argument("--levels", type=int, nargs="+", default=[0, 2, 5, 7])
+    r.add_argument("--loci", type=int, default=64)
+    r.add_argument("--target", type=int, help="about how many collapsed clusters")
     s = sub.add_parser("split", help="one folder per organism of a submission table (parquet)")
     s.add_argument("table")
     s.add_argument("out")
@@ -35,6 +42,8 @@ def main(argv: list[str] | None = None) -> None:
         edges = graph.valid_edges(spark.read.parquet(a.pairs))
         nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         writers.write_hierarchy(cluster.hierarchy(edges, nodes, a.levels), a.out)
+    elif a.command == "run":
+        pipeline.run(spark.read.parquet(a.profiles), a.out, a.levels, a.loci, a.target)
     elif a.command == "split":
         df = spark.read.parquet(a.table)
         writers.split_by_organism(df, organism_key(F.col(writers.organism_column(df.columns))), a.out, a.overwrite).show()

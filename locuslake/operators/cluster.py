@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .graph import block_forests, components, symmetrised
+from .evaluate import silhouettes
+from .graph import block_forests, components, spanning_forest, symmetrised
 from .hotkeys import number_within_key
 
 
@@ -50,6 +51,18 @@ def collapse_threshold(curve: DataFrame, target: int) -> DataFrame:
     return seen.agg(F.min_by(F.struct("w", "n_clusters"), F.struct(F.abs(F.col("n_clusters") - target), F.col("w"))).alias("b")).select(F.col("b.w").alias("threshold"), F.col("b.n_clusters").alias("n_clusters"))
 
 
+def collapse(edges: DataFrame, nodes: DataFrame, target: int) -> DataFrame:
+    """``id, rep, threshold, n``: every member of the about ``target`` clusters left by joining the edges under the chosen threshold.
+
+    The smallest member represents a cluster; one row a member, so no cluster has to fit into a list.
+    """
+    at = pin(collapse_threshold(collapse_curve(spanning_forest(edges), nodes.count()), target).select("threshold"), "threshold")  # one row
+    near = edges.crossJoin(F.broadcast(at)).where("w < threshold")
+    lab = pin(labels_at(near.select("u", "v", "w"), nodes, float("inf")), "labels")
+    size = lab.groupBy("label").agg(F.count("*").alias("n"))
+    return lab.join(size, "label").crossJoin(F.broadcast(at)).select("id", F.col("label").alias("rep"), "threshold", "n")
+
+
 def top_jumps(heights: DataFrame, n: int = 5) -> DataFrame:
     """The heights before the ``n`` largest jumps of a sorted distinct series ``h``."""
     w = Window.orderBy("h")
@@ -87,6 +100,46 @@ def eps_candidates(edges: DataFrame, n: int = 20) -> DataFrame:
     return p.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(F.col("p")[0] + (F.col("p")[1] - F.col("p")[0]) * i / (n - 1), 6))).alias("k", "eps"))
 
 
+def dbscan_each(edges: DataFrame, nodes: DataFrame, radii: DataFrame, min_samples: int) -> DataFrame:
+    """``k, id, label`` for every radius (k, eps) in the same rounds: the smallest core names a cluster, -1 is noise.
+
+    ``radii`` is a short list; ``min_samples`` is 2 at least.
+    """
+    near = pin(symmetrised(edges).crossJoin(F.broadcast(radii.select(F.col("k").cast("long").alias("k"), "eps"))).where("w <= eps").select("k", "i", "j"), "near")
+    core = pin(near.groupBy("k", "i").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= max(2, min_samples)).select("k", "i"), "core")
+    cc = near.where("i < j").join(core, ["k", "i"], "left_semi").join(core.withColumnRenamed("i", "j"), ["k", "j"], "left_semi")
+    lab = components(cc.select("k", F.col("i").alias("u"), F.col("j").alias("v")), by="k")
+    cores = pin(core.withColumnRenamed("i", "id").join(lab, ["k", "id"], "left").select("k", "id", F.coalesce("label", "id").alias("root")), "cores")
+    border = near.join(core, ["k", "i"], "left_anti").join(cores.withColumnRenamed("id", "j"), ["k", "j"]).groupBy("k", "i").agg(F.min("root").alias("root")).withColumnRenamed("i", "id")
+    every = nodes.select("id").crossJoin(F.broadcast(radii.select(F.col("k").cast("long").alias("k"))))
+    return every.join(cores.unionByName(border), ["k", "id"], "left").select("k", "id", F.coalesce("root", F.lit(-1).cast("long")).alias("label"))
+
+
+def eps_choice(edges: DataFrame, nodes: DataFrame, min_samples: int = 5, n: int = 20) -> DataFrame:
+    """One row ``eps, silhouette``: the candidate radius with the best mean silhouette, the smallest of equals.
+
+    Candidates that give fewer than two clusters or leave more than half of the
+    samples as noise are out; noise counts as a cluster of its own in the
+    silhouette. If none is left: the median distance, and a null silhouette.
+    """
+    edges = pin(edges, "edges")
+    radii = pin(eps_candidates(edges, n), "radii")
+    lab = pin(dbscan_each(edges, nodes, radii, min_samples), "labels")
+    kept = lab.groupBy("k").agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.avg((F.col("label") == -1).cast("double")).alias("noise")).where("clusters >= 2 and noise <= 0.5").select("k")
+    sil = silhouettes(symmetrised(edges), lab.join(kept, "k"), ("k",)).groupBy("k").agg(F.round(F.avg("s"), 6).alias("silhouette"))
+    best = sil.join(radii, "k").agg(F.min_by(F.struct("eps", "silhouette"), F.struct((-F.col("silhouette")).alias("s"), "k")).alias("b"))
+    middle = edges.agg(F.percentile("w", F.lit(0.5)).alias("middle"))
+    return best.crossJoin(F.broadcast(middle)).select(F.coalesce("b.eps", "middle").alias("eps"), F.col("b.silhouette").alias("silhouette"))  # one row
+
+
+def eps_knee(edges: DataFrame) -> DataFrame:
+    """One row ``knee_idx, eps``: the mean distance before the largest gap of the samples' sorted mean distances, the first of equals."""
+    mean = symmetrised(edges).groupBy("i").agg(F.round(F.sum("w") / (F.count("*") + 1.0), 6).alias("m"))
+    placed = pin(number_within_key(mean.withColumn("one", F.lit(0)), "one", ["m", "i"]).select("_n", "m"), "means")
+    gap = placed.join(placed.select((F.col("_n") - 1).alias("_n"), F.col("m").alias("next")), "_n").select("_n", "m", F.round(F.col("next") - F.col("m"), 6).alias("gap"))
+    return gap.agg(F.min_by(F.struct("_n", "m"), F.struct((-F.col("gap")).alias("g"), "_n")).alias("b")).select(F.col("b._n").alias("knee_idx"), F.col("b.m").alias("eps"))
+
+
 def attach_parents(dist: DataFrame, rank: DataFrame) -> DataFrame:
     """``id, parent, d1``: for each sample the earlier one (in processing order) with least query-side distance, first on ties."""
     r = rank.select("id", "rank")

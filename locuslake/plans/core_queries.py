@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..functions.text import organism_key
-from ..operators import cluster, distance, evaluate, graph, hotkeys, packed, series
+from ..operators import cluster, distance, evaluate, graph, hotkeys, packed, pairs, series
 from ..operators.profiles import load_profiles, present
 from ..session import pin, table
 
@@ -379,6 +379,20 @@ def all_level_group_counts(spark, sf_dir):
     return hierarchy_all_levels(spark, sf_dir).groupBy("level").agg(F.count_distinct("cluster").alias("n_groups"))
 
 
+#: every pair of samples, which DuckDB compares one by one
+ALL_PAIRS_SQL = f"""q AS (SELECT sample_idx, {ALLELES_SQL} AS a FROM cgmlst_profile), z AS (SELECT x.sample_idx AS i, y.sample_idx AS j, greatest(len(list_filter(x.a, lambda v: v > 0)), len(list_filter(y.a, lambda v: v > 0))) - 0.05::DOUBLE * 64 AS ll,
+list_zip(x.a, y.a) AS z FROM q x JOIN q y ON x.sample_idx < y.sample_idx), c AS (SELECT i, j, ll, len(list_filter(z, lambda v: v[1] > 0 AND v[2] > 0))::DOUBLE + 1e-12 AS al, len(list_filter(z, lambda v: v[1] > 0 AND v[2] > 0 AND v[1] <> v[2]))::DOUBLE AS ad FROM z),
+f AS MATERIALIZED (SELECT * FROM (SELECT i, j, floor((ad + greatest(ll - al, 0)) / (al + greatest(ll - al, 0)) * 64 + 0.5)::INT AS w FROM c) WHERE w <= 7), b AS MATERIALIZED (SELECT i, j, w FROM f UNION ALL SELECT j, i, w FROM f)"""
+
+
+@query(f"""WITH RECURSIVE {ALL_PAIRS_SQL}, lv AS (SELECT unnest(range(0, 8))::INT AS level), s AS MATERIALIZED (SELECT level, i AS a, j AS b FROM b JOIN lv ON b.w <= lv.level),
+t AS (SELECT level, a AS id, a AS label FROM s UNION SELECT s.level, s.b, t.label FROM t JOIN s ON s.a = t.id AND s.level = t.level WHERE t.label < s.b), g AS (SELECT level, id, min(label) AS label FROM t GROUP BY 1, 2)
+SELECT p.sample_idx, lv.level, coalesce(g.label, p.sample_idx) AS cluster FROM cgmlst_profile p CROSS JOIN lv LEFT JOIN g ON g.id = p.sample_idx AND g.level = lv.level""")
+def profile_hierarchy(spark, sf_dir):
+    """Clusters of every sample at the levels 0 to 7, from the profiles alone."""
+    return pairs.profile_hierarchy(load_profiles(spark, sf_dir), list(range(8)))
+
+
 @query()
 def spanning_forest(spark, sf_dir):
     """The minimum spanning forest of the listed pairs."""
@@ -406,6 +420,15 @@ def collapse_to_target(spark, sf_dir):
     return cluster.collapse_threshold(cluster.collapse_curve(graph.spanning_forest(_edges(spark, sf_dir)), n), int(0.6 * n))
 
 
+@query(CURVE_SQL + """, q AS (SELECT floor(0.6::DOUBLE * count(*))::BIGINT AS target FROM cgmlst_profile), y AS (SELECT *, min(n_clusters) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+x AS (SELECT w AS t FROM y, q WHERE before IS NULL OR before > target ORDER BY abs(n_clusters - target), w LIMIT 1)
+SELECT p.sample_idx AS id, coalesce(h.cluster, p.sample_idx) AS rep, x.t AS threshold, count(*) OVER (PARTITION BY coalesce(h.cluster, p.sample_idx)) AS n FROM cgmlst_profile p CROSS JOIN x LEFT JOIN h ON h.id = p.sample_idx AND h.level = x.t - 1""")
+def collapse_clusters(spark, sf_dir):
+    """The collapsed clusters of about 60 % of the samples: each member with its representative, the threshold and the cluster's size."""
+    e, nodes = pin(_edges(spark, sf_dir), "edges"), _nodes(spark, sf_dir)
+    return cluster.collapse(e, nodes, int(0.6 * nodes.count()))
+
+
 @query(f"WITH {EDGE_SQL}, h AS (SELECT DISTINCT w AS h FROM e), k AS (SELECT h, lead(h) OVER (ORDER BY h) - h AS jump FROM h) SELECT h, jump FROM k WHERE jump IS NOT NULL ORDER BY jump DESC, h DESC LIMIT 5")
 def top_jumps(spark, sf_dir):
     """Distances before the largest gaps of the sorted distances."""
@@ -440,6 +463,28 @@ def eps_candidates(spark, sf_dir):
     return cluster.eps_candidates(_edges(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {BOTH_SQL}, lim AS (SELECT quantile_cont(w, 0.1)::DOUBLE AS lo, quantile_cont(w, 0.9)::DOUBLE AS hi, quantile_cont(w, 0.5)::DOUBLE AS mid FROM e),
+r AS MATERIALIZED (SELECT k, round(lo + (hi - lo) * k / 19, 6) AS eps FROM lim, (SELECT unnest(range(0, 20)) AS k)), near AS MATERIALIZED (SELECT r.k, b.i, b.j FROM b JOIN r ON b.w <= r.eps),
+core AS MATERIALIZED (SELECT k, i FROM near GROUP BY 1, 2 HAVING count(*) + 1 >= 5), s AS MATERIALIZED (SELECT n.k, n.i AS a, n.j AS b FROM near n JOIN core x ON x.k = n.k AND x.i = n.i JOIN core y ON y.k = n.k AND y.i = n.j),
+t AS (SELECT k, i AS id, i AS label FROM core UNION SELECT s.k, s.b, t.label FROM t JOIN s ON s.a = t.id AND s.k = t.k WHERE t.label < s.b), g AS (SELECT k, id, min(label) AS root FROM t GROUP BY 1, 2),
+o AS (SELECT n.k, n.i AS id, min(g.root) AS root FROM near n JOIN g ON g.k = n.k AND g.id = n.j WHERE NOT EXISTS (SELECT 1 FROM core x WHERE x.k = n.k AND x.i = n.i) GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT r.k, p.sample_idx AS id, coalesce(g.root, o.root, -1) AS label FROM cgmlst_profile p CROSS JOIN r LEFT JOIN g ON g.k = r.k AND g.id = p.sample_idx LEFT JOIN o ON o.k = r.k AND o.id = p.sample_idx),
+kept AS (SELECT k FROM h GROUP BY 1 HAVING count(DISTINCT label) FILTER (WHERE label >= 0) >= 2 AND avg((label = -1)::INT) <= 0.5), z AS (SELECT k, label, count(*) AS m FROM h GROUP BY 1, 2),
+d AS (SELECT c.k, b.i, c.label AS lj, avg(w) AS m FROM b JOIN h c ON c.id = b.j JOIN kept USING (k) GROUP BY 1, 2, 3), ab AS (SELECT d.k, d.i, max(CASE WHEN a.label = d.lj THEN d.m END) AS a, min(CASE WHEN a.label <> d.lj THEN d.m END) AS b FROM d JOIN h a ON a.id = d.i AND a.k = d.k GROUP BY 1, 2),
+y AS (SELECT h.k, round(CASE WHEN z.m = 1 OR ab.a IS NULL OR ab.b IS NULL OR greatest(ab.a, ab.b) = 0 THEN 0 ELSE (ab.b - ab.a) / greatest(ab.a, ab.b) END, 6)::DOUBLE AS s FROM h JOIN kept USING (k) JOIN z ON z.k = h.k AND z.label = h.label LEFT JOIN ab ON ab.i = h.id AND ab.k = h.k),
+v AS (SELECT k, round(avg(s), 6) AS silhouette FROM y GROUP BY 1), w AS (SELECT eps, silhouette FROM v JOIN r USING (k) ORDER BY silhouette DESC, k LIMIT 1) SELECT coalesce((SELECT eps FROM w), mid) AS eps, (SELECT silhouette FROM w) AS silhouette FROM lim""")
+def eps_choice(spark, sf_dir):
+    """The radius with the best silhouette among twenty candidates, five samples to a core."""
+    return cluster.eps_choice(_edges(spark, sf_dir), _nodes(spark, sf_dir))
+
+
+@query(f"""WITH {BOTH_SQL}, m AS (SELECT i, round(sum(w) / (count(*) + 1.0), 6)::DOUBLE AS m FROM b GROUP BY 1), n AS (SELECT m, row_number() OVER (ORDER BY m, i) - 1 AS k, round(lead(m) OVER (ORDER BY m, i) - m, 6) AS gap FROM m)
+SELECT k AS knee_idx, m AS eps FROM n WHERE gap IS NOT NULL ORDER BY gap DESC, k LIMIT 1""")
+def eps_knee(spark, sf_dir):
+    """The radius at the knee of the sorted mean distances."""
+    return cluster.eps_knee(_edges(spark, sf_dir))
+
+
 @query(f"""WITH p AS (SELECT sample_idx, row_number() OVER (ORDER BY len(list_filter({ALLELES_SQL}, lambda x: x <= 0)), sample_idx) AS r FROM cgmlst_profile),
 d AS (SELECT DISTINCT i, j, d1 FROM dist WHERE d1 >= 0 AND i <> j)
 SELECT d.i AS id, arg_min(d.j, (d.d1::BIGINT << 40) + b.r) AS parent, min(d.d1) AS d1 FROM d JOIN p a ON a.sample_idx = d.i JOIN p b ON b.sample_idx = d.j WHERE b.r < a.r GROUP BY 1""")

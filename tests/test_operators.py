@@ -4,9 +4,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from locuslake.operators import cluster, distance, evaluate, graph, series
+from locuslake.operators import cluster, distance, evaluate, graph, pairs, series
 from locuslake.operators.profiles import alleles_from_columns, distinct_profiles
-from locuslake.plans import core_queries
+from locuslake.plans import core_queries, pipeline
 
 
 def d0_by_hand(a, b, am=0.05):
@@ -237,3 +237,56 @@ def test_breakpoints_are_peaks(spark):
         got = series.breakpoint_scores(spark.createDataFrame(list(enumerate(x)), "idx int, x double"), spark.createDataFrame([(i, 1 - d) for i, d in enumerate(drop[:-1])], "idx int, x double")).collect()
         assert [p.idx for p in got] == [i for i, _ in want]
         assert all(abs(p.score - s) < 2e-5 for p, (_, s) in zip(got, want, strict=True))
+
+
+def family_profiles(n, seed, loci=64):
+    r = random.Random(seed)
+    out = []
+    while len(out) < n:
+        base = [r.randint(1, 200) for _ in range(loci)]
+        for _ in range(r.randint(1, 30)):
+            p = [x if r.random() > 0.04 else r.randint(1, 200) for x in base]
+            out += [[0 if r.random() < 0.02 else x for x in p]] * r.choice([1, 1, 3])
+    return out[:n]
+
+
+def test_profiles_to_hierarchy_without_all_pairs(spark):
+    p = family_profiles(300, 4) + [[0] * 64, [0] * 62 + [5, 0]]
+    a = np.array(p, np.int32)
+    d = distance.block_d0(a, a)
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(p)], "sample_idx long, alleles array<int>, rep int")
+    got = {(r.level, r.sample_idx): r.cluster for r in pairs.profile_hierarchy(df, [0, 3, 7]).collect()}
+    for level in (0, 3, 7):
+        want = brute_components([(int(i), int(j), 0) for i, j in zip(*np.nonzero(d <= level)) if i < j], range(len(p)))
+        assert all(got[level, i] == want[i] for i in range(len(p)))
+    distinct = df.groupBy("alleles").agg(F.min("sample_idx").alias("rep"))
+    few, many = (pairs.linking_edges(distinct, 7, chunk=c) for c in (8, 1024))
+    labels = lambda e: {(r.id, r.label) for r in graph.components(e).collect()}
+    assert labels(few) == labels(many)
+    assert pairs.linking_edges(distinct.limit(0), 7).count() == 0
+
+
+def test_pipeline_writes_levels_and_collapsed_profiles(spark, tmp_path):
+    p = family_profiles(120, 6)
+    df = spark.createDataFrame(list(enumerate(p)), "sample_idx long, alleles array<int>")
+    paths = pipeline.run(df, str(tmp_path), [0, 7], 64, target=40)
+    assert spark.read.parquet(paths["hierarchy"]).count() == 240
+    assert {r.level for r in spark.read.parquet(paths["group_counts"]).collect()} == {0, 7}
+    flat = spark.read.parquet(paths["collapsed"]).collect()
+    assert sorted(r["id"] for r in flat) == list(range(120))
+    assert all(list(r.alleles) == p[r.rep] for r in flat)
+
+
+def test_radii_together_equal_one_by_one(spark):
+    r = random.Random(9)
+    rows = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), r.randint(0, 30)) for a, b in ((r.randint(0, 60), r.randint(0, 60)) for _ in range(400)) if a != b}.values())
+    e, nodes = edges_of(spark, rows), spark.range(64)
+    radii = spark.createDataFrame([(0, 3.0), (1, 8.0), (2, 15.0)], "k int, eps double")
+    each = {(x.k, x.id): x.label for x in cluster.dbscan_each(e, nodes, radii, 4).collect()}
+    for k, eps in ((0, 3), (1, 8), (2, 15)):
+        one = {x.id: x.label for x in cluster.dbscan(e, nodes, eps, 4).collect()}
+        names = {}
+        for i in range(64):
+            assert (one[i] == -1) == (each[k, i] == -1)
+            assert names.setdefault(one[i], each[k, i]) == each[k, i]
+    assert cluster.eps_choice(e, nodes, 4, 5).count() == 1

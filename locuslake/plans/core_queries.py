@@ -51,7 +51,19 @@ def p3_key_stats(spark, sf_dir):
     return s.select("organism_key", "n_rows", F.col("n_sample_idx").alias("n_samples"), F.col("n_uploader").alias("n_uploaders"), F.unix_micros(F.col("latest").cast("timestamp")).alias("latest_us"))
 
 
-@query()
+#: places of the packed field, up to ``places``: raw_id, pos, token; lexemes in order, a run of white space beside another separator means nothing
+WS = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+QUOTED, BARE = '"(?:[^"]|"")*"|' + "''(?:[^'']|'''')*''", r"[\p{L}\p{N}~.:=-]+"
+PLACES_SQL = f"""WITH f AS (SELECT raw_id, regexp_replace(cgmlst, '^{WS}+|{WS}+$', '', 'g') AS f FROM cgmlst_tokens WHERE cgmlst IS NOT NULL),
+x AS (SELECT raw_id, regexp_extract_all(f, '(?s){QUOTED}|{BARE}|{WS}+|.') AS x FROM f), l AS (SELECT raw_id, unnest(x) AS l, unnest(range(1, len(x) + 1)) AS o FROM x),
+k AS (SELECT *, CASE WHEN regexp_full_match(l, '(?s){QUOTED}') THEN 'q' WHEN regexp_full_match(l, '{BARE}') THEN 'b' WHEN regexp_full_match(l, '{WS}+') THEN 'w' ELSE 'o' END AS kind FROM l),
+n AS (SELECT *, lag(kind) OVER w AS pk, lead(kind) OVER w AS nk FROM k WINDOW w AS (PARTITION BY raw_id ORDER BY o)),
+s AS (SELECT *, 1 + sum(CASE WHEN kind = 'o' OR (kind = 'w' AND pk <> 'o' AND nk <> 'o') THEN 1 ELSE 0 END) OVER (PARTITION BY raw_id ORDER BY o) AS pos FROM n),
+places AS (SELECT raw_id, pos::INT AS pos, string_agg(CASE WHEN kind = 'q' THEN replace(substr(l, 2, len(l) - 2), l[1] || l[1], l[1]) ELSE l END, '' ORDER BY o) AS token FROM s WHERE kind IN ('q', 'b') GROUP BY 1, 2)
+"""
+
+
+@query(PLACES_SQL + r"SELECT raw_id, pos, token FROM places WHERE regexp_matches(token, '[\p{L}\p{Nd}]')")
 def p6_found(spark, sf_dir):
     """Allele tokens of the packed field with their places."""
     places = packed.split_packed(table(spark, sf_dir, "cgmlst_tokens"), "cgmlst", ["raw_id"])

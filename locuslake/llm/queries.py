@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.profiles import distinct_profiles, load_profiles
+from ..plans.core_queries import PLACES_SQL, WS
 from ..session import pin, table
 from . import canonical, clusters, components, consolidate, leakage, neighbours, packing, privacy
 
@@ -146,13 +147,26 @@ def _encoded(spark, sf_dir):
     return canonical.encode_records(table(spark, sf_dir, "cgmlst_tokens"), "raw_id", "st", "cgmlst")
 
 
-@query()
+RECORDS_SQL = (
+    PLACES_SQL
+    + r""", v AS (SELECT raw_id, CASE WHEN regexp_full_match(token, '[Ll][0-9]{1,18}[:=].*') THEN regexp_extract(token, '^[Ll]([0-9]{1,18})', 1)::BIGINT ELSE pos END AS locus,
+lower(regexp_replace(CASE WHEN regexp_full_match(token, '[Ll][0-9]{1,18}[:=].*') THEN regexp_extract(token, '^[Ll][0-9]{1,18}[:=](.*)$', 1) ELSE token END, '[^\p{L}\p{Nd}]', '', 'g')) AS v FROM places),
+r AS (SELECT raw_id, string_agg(DISTINCT locus || ':' || v, ',' ORDER BY locus || ':' || v) AS r FROM v WHERE v <> '' GROUP BY 1),
+a AS (SELECT c.raw_id, CASE WHEN c.st IS NULL OR c.cgmlst IS NULL OR regexp_full_match(c.cgmlst, '"""
+    + WS
+    + r"""*') THEN NULL ELSE regexp_replace(c.st, '[^0-9]', '', 'g') || '|' || coalesce(r.r, '') END AS k FROM cgmlst_tokens c LEFT JOIN r USING (raw_id)),
+g AS (SELECT raw_id, CASE WHEN k IS NULL THEN raw_id ELSE min(raw_id) OVER (PARTITION BY k) END AS keep_id, k FROM a)
+"""
+)
+
+
+@query(RECORDS_SQL + "SELECT keep_id, raw_id FROM g WHERE raw_id <> keep_id")
 def p7_found(spark, sf_dir):
     """Every copy of a record but the first, with the first."""
     return _encoded(spark, sf_dir).where("raw_id <> first_id").select(F.col("first_id").alias("keep_id"), "raw_id")
 
 
-@query()
+@query(RECORDS_SQL + ", m AS (SELECT raw_id, count(DISTINCT locus || ':' || v) AS n FROM v WHERE v <> '' GROUP BY 1) SELECT keep_id, count(*) AS n_copies, max(CASE WHEN k IS NOT NULL THEN coalesce(m.n, 0) END)::INT AS n_values FROM g LEFT JOIN m USING (raw_id) GROUP BY 1")
 def p7_records(spark, sf_dir):
     """One row per record: its first row, its copies, its number of coded values."""
     e = _encoded(spark, sf_dir)

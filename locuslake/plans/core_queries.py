@@ -625,6 +625,62 @@ def threshold_pick(spark, sf_dir):
     return series.first_two(plateaus(spark, sf_dir).select(F.col("start").alias("idx")))
 
 
+# one-row choices and small reports
+
+
+@query(_every_level() + ", k AS (SELECT level, count(DISTINCT cluster) AS n_groups FROM h GROUP BY 1) SELECT min(level) AS level FROM k WHERE n_groups < 1000")
+def first_small_level(spark, sf_dir):
+    """The first level with fewer than 1,000 groups; null if none has."""
+    return all_level_group_counts(spark, sf_dir).where("n_groups < 1000").agg(F.min("level").alias("level"))
+
+
+@query(f"WITH RECURSIVE {BOTH_SQL}, {_reach('w <= 7')} SELECT label, count(*) AS size FROM n GROUP BY 1 ORDER BY size DESC, label LIMIT 6")
+def top_components(spark, sf_dir):
+    """The six largest clusters at distance 7."""
+    return cluster.labels_at(_edges(spark, sf_dir), _nodes(spark, sf_dir), 7).groupBy("label").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "label").limit(6)
+
+
+@query(f"WITH {EDGE_SQL}, q AS (SELECT quantile_cont(w, 0.95)::DOUBLE AS top FROM e) SELECT u, v, round(least(w, top), 6)::DOUBLE AS shown FROM e, q")
+def winsorised_edges(spark, sf_dir):
+    """Edge lengths held to their 95th percentile, as a drawing uses them."""
+    e = _edges(spark, sf_dir)
+    top = F.broadcast(e.agg(F.percentile("w", F.lit(0.95)).alias("top")))  # one row
+    return e.crossJoin(top).select("u", "v", F.round(F.least(F.col("w").cast("double"), "top"), 6).alias("shown"))
+
+
+@query(SQL["nmi_levels"].replace("SELECT a.level AS level1", "SELECT level1, level2, round(10 * log10(1 - nmi), 4) AS heat FROM (SELECT a.level AS level1") + ")")
+def nmi_heat(spark, sf_dir):
+    """The colour value of every two evaluated levels."""
+    return nmi_levels(spark, sf_dir).select("level1", "level2", F.round(10 * F.log10(1 - F.col("nmi")), 4).alias("heat"))
+
+
+@query(CURVE_SQL + ", jumps AS (SELECT w AS h, lead(w) OVER (ORDER BY w) - w AS jump FROM c) SELECT h, jump FROM jumps WHERE jump IS NOT NULL ORDER BY jump DESC, h DESC LIMIT 5")
+def merge_jumps(spark, sf_dir):
+    """Merge heights before the five largest gaps between heights."""
+    return cluster.top_jumps(graph.spanning_forest(_edges(spark, sf_dir)).select(F.col("w").alias("h")))
+
+
+@query(MERGES_SQL + ", q AS (SELECT floor(0.4::DOUBLE * count(*))::BIGINT AS k FROM cgmlst_profile), y AS (SELECT w, n_at FROM m, q WHERE n_at <= k) SELECT min(w) AS level, arg_min(n_at, w) AS n_groups FROM y")
+def cut_at_count(spark, sf_dir):
+    """The lowest level that leaves at most 40 % of the samples as groups, and how many; nulls if none does."""
+    k = int(0.4 * _nodes(spark, sf_dir).count())
+    return all_level_group_counts(spark, sf_dir).where(F.col("n_groups") <= k).agg(F.min("level").alias("level"), F.min_by("n_groups", "level").alias("n_groups"))
+
+
+@query("SELECT count(DISTINCT label) FILTER (WHERE label <> -1) AS n_clusters, count(*) FILTER (WHERE label = -1) AS n_noise, count(*) FILTER (WHERE role = 'core') AS n_core, count(*) FILTER (WHERE role = 'border') AS n_border FROM (" + DBSCAN_SQL + ")")
+def dbscan_summary(spark, sf_dir):
+    """Clusters without noise, and samples by their role."""
+    role = lambda r: F.count_if(F.col("role") == r).alias(f"n_{r}")
+    return dbscan_labels(spark, sf_dir).agg(F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("n_clusters"), role("noise"), role("core"), role("border"))
+
+
+@query(f"""SELECT count(*) AS n_profiles, sum(n)::BIGINT AS n_samples, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS n_in_copies, max(n) AS most_copies FROM (SELECT count(*) AS n FROM (SELECT {ALLELES_SQL} AS a FROM cgmlst_profile) GROUP BY a)""")
+def run_summary(spark, sf_dir):
+    """Profiles, samples, samples that share a profile, and the most copies of one."""
+    n = load_profiles(spark, sf_dir).groupBy("alleles").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("n_profiles"), F.sum("n").alias("n_samples"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_in_copies"), F.max("n").alias("most_copies"))
+
+
 # layouts
 
 

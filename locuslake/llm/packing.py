@@ -147,7 +147,8 @@ def pack(pieces: DataFrame, capacity: int, group_items: int = 20_000, rounds: in
     # one row per group, i.e. rows / group_items of them
     start = per.select(F.col("grp").alias("g"), F.coalesce(F.sum("here").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     numbered = bins.join(start, F.col("grp") == F.col("g")).select(F.col("grp").alias("g"), "b", (F.col("start") + F.col("k")).alias("container"))
-    placed = now.join(numbered, (F.col("grp") == F.col("g")) & (F.col("bin") == F.col("b"))).select("doc_id", "piece", "n_pieces", "tokens", "container")
+    # a row per container: shuffled at every size, never broadcast
+    placed = now.join(numbered.hint("merge"), (F.col("grp") == F.col("g")) & (F.col("bin") == F.col("b"))).select("doc_id", "piece", "n_pieces", "tokens", "container")
     bounds = now.groupBy("grp").agg(F.max("bound").alias("lower_bound"), F.max("bins").alias("packed_bins"))
     report = per.join(bounds, "grp").select("grp", "items", F.col("here").alias("containers"), "lower_bound", "packed_bins", "filled")
     return placed, report

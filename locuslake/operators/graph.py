@@ -85,7 +85,7 @@ def components(edges: DataFrame, block_edges: int = 200_000, max_rounds: int = 6
         low = now.join(seen, [*on, "id"], "left").select(*on, "id", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
         hop = now.select(*on, F.col("id").alias("low"), F.col("label").alias("hop"))
         new = pin(low.join(hop, [*on, "low"]).select(*on, "id", F.least("low", "hop").alias("label"), (F.least("low", "hop") < F.col("label")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
+        moved = not new.where("moved").isEmpty()
         unpin(now)
         now = new
         if not moved:
@@ -109,36 +109,29 @@ def block_forests(edges: DataFrame, block_edges: int = 200_000) -> DataFrame:
 def spanning_forest(edges: DataFrame, block_edges: int = 200_000, max_rounds: int = 60) -> DataFrame:
     """Minimum spanning forest ``u, v, w`` under the total order (w, u, v), which makes it unique.
 
-    Every block of edges first keeps its own forest. What is left is solved by
-    Boruvka rounds on the cluster: each component hooks on along its least outgoing
-    edge, chains of hooks are cut short by pointer doubling, and the edges between
-    the joined components go on. Rounds and doublings grow with the logarithm of
-    the vertices; each is pinned.
+    Every block of edges first keeps its own forest. A component whose remaining
+    edges are one fewer than its vertices is a tree by then and done. The others
+    are solved by Boruvka rounds on the cluster: each component hooks on along its
+    least outgoing edge, chains of hooks are cut short by pointer jumping, and the
+    edges between the joined components go on. Rounds and jumps grow with the
+    logarithm of the vertices; each is pinned.
     """
-    left = pin(block_forests(edges, block_edges).select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), "left")
-    chosen: list[DataFrame] = []
+    kept = pin(block_forests(edges, block_edges), "kept")
+    lab = components(kept, block_edges)
+    at = kept.join(lab.withColumnRenamed("id", "u"), "u")
+    size = lab.groupBy("label").agg(F.count("*").alias("n"))
+    cyclic = at.groupBy("label").agg(F.count("*").alias("m")).join(size, "label").where("m >= n").select("label", F.lit(True).alias("cyclic"))
+    placed = pin(at.join(cyclic, "label", "left").select("u", "v", "w", F.coalesce("cyclic", F.lit(False)).alias("cyclic")), "placed")
+    unpin(kept)
+    chosen = [placed.where("not cyclic").select("u", "v", "w")]
+    left = placed.where("cyclic").select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b"))
     for _ in range(max_rounds):
+        if left.isEmpty():
+            return reduce_frames(DataFrame.unionByName, chosen).distinct()
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("x"), "w", "u", "v")
         hook = pin(ends.groupBy("x.c").agg(F.min(F.struct("w", "u", "v", "x.o")).alias("e")).select("c", "e.*"), "hook")
         chosen.append(hook.select("u", "v", "w"))
-        if not hook.limit(1).count():
-            unpin(left)
-            return reduce_frames(DataFrame.unionByName, chosen).distinct()
-        # two components that chose each other chose the same edge; the smaller becomes the root
-        other = hook.select(F.col("c").alias("o"), F.col("o").alias("back"))
-        up = pin(hook.join(other, "o").select(F.col("c").alias("id"), F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("up")), "up")
-        for _ in range(max_rounds):
-            step = lambda n: up.select(F.col("id").alias(f"s{n}"), F.col("up").alias(f"t{n}"))  # noqa: E731, B023
-            far = up.join(step(1), F.col("up") == F.col("s1")).join(step(2), F.col("t1") == F.col("s2")).join(step(3), F.col("t2") == F.col("s3"))
-            new = pin(far.select("id", F.col("t3").alias("up"), (F.col("t3") != F.col("up")).alias("moved")), "up")
-            moved = new.where("moved").limit(1).count()
-            unpin(up)
-            up = new.select("id", "up")
-            up._pinned_at = new._pinned_at
-            if not moved:
-                break
-        else:
-            raise RuntimeError(f"hooks not joined after {max_rounds} doublings")
+        up = _hook_roots(hook, max_rounds)
         la, lb = up.select(F.col("id").alias("a"), F.col("up").alias("na")), up.select(F.col("id").alias("b"), F.col("up").alias("nb"))
         nxt = left.join(la, "a").join(lb, "b").where("na <> nb").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("e"))
         nxt = pin(nxt.select("e.u", "e.v", "e.w", "a", "b"), "left")
@@ -148,6 +141,28 @@ def spanning_forest(edges: DataFrame, block_edges: int = 200_000, max_rounds: in
     raise RuntimeError(f"forest not complete after {max_rounds} rounds")
 
 
+def _hook_roots(hook: DataFrame, max_rounds: int) -> DataFrame:
+    """``id, up``: the root of each component's chain of hooks ``c -> o``; pinned.
+
+    A chain ends in two components that chose the same edge, of which the smaller
+    is the root. The first four steps are looked up at once; where the pair is not
+    among them, pointers are followed three at a time until all stand at a root.
+    """
+    step = lambda n: hook.select(F.col("c").alias(f"t{n}"), F.col("o").alias(f"t{n + 1}"))
+    chain = hook.select(F.col("c").alias("t0"), F.col("o").alias("t1")).join(step(1), "t1").join(step(2), "t2").join(step(3), "t3")
+    root = reduce_frames(lambda w, n: w.when(F.col(f"t{n}") == F.col(f"t{n + 2}"), F.least(f"t{n}", f"t{n + 1}")), range(3), F)
+    up = pin(chain.select(F.col("t0").alias("id"), root.alias("root"), "t4").select("id", F.coalesce("root", "t4").alias("up"), F.col("root").isNull().alias("on")), "up")
+    for _ in range(max_rounds):
+        if up.where("on").isEmpty():
+            return up
+        hop = lambda n: up.select(F.col("id").alias(f"t{n}"), F.col("up").alias(f"t{n + 1}"))  # noqa: E731, B023
+        far = up.select("id", F.col("up").alias("t1")).join(hop(1), "t1").join(hop(2), "t2").join(hop(3), "t3")
+        new = pin(far.select("id", F.col("t4").alias("up"), (F.col("t4") != F.col("t3")).alias("on")), "up")
+        unpin(up)
+        up = new
+    raise RuntimeError(f"hooks not joined after {max_rounds} doublings")
+
+
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, labels)`` of a bounded block of edges."""
     ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -220,7 +235,7 @@ def rooted_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds:
     onward = F.coalesce("after", F.when(F.col("i") != F.col("root"), F.col("first")))  # null: the walk ends here
     now = pin(ring.select(F.col("j").alias("a"), F.col("i").alias("b"), F.when(onward.isNotNull(), F.col("i")).alias("na"), onward.alias("nb"), F.lit(1).cast("long").alias("left")), "walk")
     for _ in range(max_rounds):
-        if not now.where("na is not null").limit(1).count():
+        if now.where("na is not null").isEmpty():
             break
         ahead = now.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("left").alias("more"))
         hop = now.where("na is not null").join(ahead, ["na", "nb"]).select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("left") + F.col("more")).alias("left"))
@@ -248,7 +263,7 @@ def _from_root(tree: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = pin(tree.select("id", F.col("parent").alias("up"), "share", "shift"), "paths")
     for _ in range(max_rounds):
-        if not now.where("up is not null").limit(1).count():
+        if now.where("up is not null").isEmpty():
             return now.select("id", "share", "shift")
         above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("share").alias("f"), F.col("shift").alias("s"))
         hop = now.where("up is not null").join(above, "up").select("id", F.col("up2").alias("up"), (F.col("f") * F.col("share")).alias("share"), (F.col("s") + F.col("f") * F.col("shift")).alias("shift"))

@@ -13,12 +13,13 @@ best of all orderings are merged per vector.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def class_neighbours(distinct: DataFrame, k: int = 5, orderings: int = 48, width
     if not sample:
         return slim.select("rep", F.lit(0).alias("d"), F.col("rep").alias("nb"))
     fitted = fit_projection(np.array([r["alleles"] for r in sample], np.int32), orderings)
-    shipped = spark.sparkContext.broadcast(fitted)
+    shipped = spark.sparkContext.broadcast(cloudpickle.dumps(fitted))  # with its class: executors need not have the package
 
     loci = len(fitted.alleles)
 
@@ -196,18 +197,20 @@ def class_neighbours(distinct: DataFrame, k: int = 5, orderings: int = 48, width
         return np.frombuffer(_bytes(column), np.int32).reshape(len(column), loci)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = pickle.loads(shipped.value)
         for batch in batches:
             a = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(batch.num_rows, loci)
-            y = shipped.value.project(a)
-            yield pa.RecordBatch.from_arrays([pa.array(shipped.value.keys(y, 0)), batch.column(0), _binary(a)], ["key", "rep", "alleles"])
+            y = fit.project(a)
+            yield pa.RecordBatch.from_arrays([pa.array(fit.keys(y, 0)), batch.column(0), _binary(a)], ["key", "rep", "alleles"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = pickle.loads(shipped.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = shipped.value.project(profiles_of(batch.column(1)))
+            y = fit.project(profiles_of(batch.column(1)))
             for t in range(orderings):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), t, np.int32)), pa.array(shipped.value.keys(y, t)), batch.column(0), batch.column(1)], ["ord", "key", "rep", "alleles"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), t, np.int32)), pa.array(fit.keys(y, t)), batch.column(0), batch.column(1)], ["ord", "key", "rep", "alleles"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None

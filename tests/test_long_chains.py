@@ -3,6 +3,7 @@
 from functools import partial
 
 from locuslake.operators import cluster, graph, pairs
+from locuslake.plans import core_queries
 
 ARM = 80
 
@@ -36,3 +37,28 @@ def test_hierarchy_of_valleys(spark):
     nodes = spark.createDataFrame([(x,) for x in [*ids(), 5000]], "id long")
     got = {(r.level, r.id): r.cluster for r in cluster.hierarchy(chain(spark), nodes, [0, 1, 2, 3, 9], block_edges=40).collect()}
     assert got == {(d, x): c for d in (0, 1, 2, 3, 9) for x, c in (by_hand(d) | {5000: 5000}).items()}
+
+
+def test_group_counts_of_valleys(spark):
+    nodes = spark.createDataFrame([(x,) for x in [*ids(), 5000, 5000, None]], "id long")
+    got = {r.level: r.n_groups for r in cluster.group_counts(chain(spark), nodes, [0, 1, 2, 3, 9], block_edges=40).collect()}
+    assert got == {d: len(set(by_hand(d).values())) + 1 for d in (0, 1, 2, 3, 9)}
+    assert cluster.group_counts(chain(spark), nodes.where("id < 0"), [1]).collect() == []
+
+
+def test_group_counts_leave_out_clusters_without_nodes(spark):
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 4), (7, 8, 1), (8, 9, 5)], "u long, v long, w int")
+    nodes = spark.createDataFrame([(2,), (3,), (9,), (20,)], "id long")
+    assert {r.level: r.n_groups for r in cluster.group_counts(edges, nodes, [0, 1, 4, 5]).collect()} == {0: 4, 1: 4, 4: 3, 5: 3}
+
+
+def names_no_member(spark, sf, monkeypatch, name):
+    def named(*_, **__):
+        raise AssertionError("members are named")
+
+    monkeypatch.setattr(cluster, "hierarchy", named)
+    assert core_queries.Q[name](spark, sf).collect()
+
+
+def test_all_level_group_counts_name_no_member(spark, sf, monkeypatch):
+    names_no_member(spark, sf, monkeypatch, "all_level_group_counts")

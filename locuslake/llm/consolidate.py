@@ -62,14 +62,7 @@ def discover_truth(
     taken; if ``max_rounds`` do not end, an error is raised.
     """
     prior = (0.5 if vote == "best" else 0.0) if prior is None else prior
-    last = 2**31 - 1
-    claims = claims.select("group_id", "field_name", "member", "value", "source", "ts").where("group_id is not null and member is not null and value is not null")
-    if trust is not None:
-        ranks = trust.where("source is not null").groupBy("source").agg(F.min("rank").cast("int").alias("rank")).withColumnRenamed("source", "_s")
-        claims = claims.join(ranks, F.col("source") == F.col("_s"), "left").withColumn("rank", F.coalesce("rank", F.lit(last))).withColumn("cls", F.col("rank").cast("string"))
-    else:
-        claims = claims.withColumn("rank", F.lit(0)).withColumn("cls", F.coalesce("source", F.lit("?")))
-    first = F.struct("rank", F.col("ts").isNull().alias("n"), (-F.unix_micros(F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_seconds(F.lit(0))))).alias("t"), F.col("member").alias("member"))
+    claims, first = _in_order(claims, trust)
     # a member's claims on a field: one row each, whatever the repeats
     votes = claims.groupBy("group_id", "field_name", "value", "cls", "member").agg(F.min(first).alias("best"))
     votes = votes.groupBy("group_id", "field_name", "value", "cls").agg(F.count("*").alias("n"), F.min("best").alias("best"))
@@ -79,6 +72,11 @@ def discover_truth(
     held = F.struct("value", "votes", "best")
     fields = pin(values.groupBy("group_id", "field_name").agg(F.count("*").alias("c"), F.min_by(held, "best").alias("w")), "fields")
     settled = fields.where("c = 1").select("group_id", "field_name", "w.*")
+    if prior >= 0.5:  # no vote can overturn the first claim: its value is the truth, and the sources are counted once
+        truth = fields.select("group_id", "field_name", "w.*")
+        said, agreed = _per_source(values, max_sources), _per_source(truth, max_sources)
+        unpin(values)
+        return _with_support(truth, {s: (agreed.get(s, 0) + smooth * 0.8) / (n + smooth) for s, n in said.items()})
     open_ = pin(values.join(fields.where("c > 1").select("group_id", "field_name"), ["group_id", "field_name"]), "open")
     said = _per_source(values, max_sources)
     agreed = _per_source(settled, max_sources)
@@ -97,8 +95,36 @@ def discover_truth(
         raise RuntimeError(f"truth not stable after {max_rounds} rounds")
     unpin(values)
     truth = _winners(open_, rel, prior).unionByName(settled)
-    truth = truth.crossJoin(F.broadcast(_row(truth, rel))).select("group_id", "field_name", "value", F.col("best.member").alias("member"), _support().alias("support"))
-    return truth, claims.sparkSession.createDataFrame(sorted(rel.items()), "source string, reliability double")
+    return _with_support(truth, rel)
+
+
+def first_claims(claims: DataFrame, trust: DataFrame | None = None) -> DataFrame:
+    """``group_id, field_name, value, member``: the first claim of each field in the declared order, without votes or reliabilities.
+
+    The truth of ``discover_truth`` with a prior of one half or more, where no vote counts.
+    """
+    claims, first = _in_order(claims, trust)
+    best = claims.groupBy("group_id", "field_name").agg(F.min(F.struct(first.alias("at"), "value", "member")).alias("b"))
+    return best.select("group_id", "field_name", "b.value", "b.member")
+
+
+def _in_order(claims: DataFrame, trust: DataFrame | None) -> tuple[DataFrame, Column]:
+    """``(claims, first)``: claims that say something with the ``cls`` of their source, and the column that puts them in the declared order."""
+    last = 2**31 - 1
+    claims = claims.select("group_id", "field_name", "member", "value", "source", "ts").where("group_id is not null and member is not null and value is not null")
+    if trust is not None:
+        ranks = trust.where("source is not null").groupBy("source").agg(F.min("rank").cast("int").alias("rank")).withColumnRenamed("source", "_s")
+        claims = claims.join(ranks, F.col("source") == F.col("_s"), "left").withColumn("rank", F.coalesce("rank", F.lit(last))).withColumn("cls", F.col("rank").cast("string"))
+    else:
+        claims = claims.withColumn("rank", F.lit(0)).withColumn("cls", F.coalesce("source", F.lit("?")))
+    first = F.struct("rank", F.col("ts").isNull().alias("n"), (-F.unix_micros(F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_seconds(F.lit(0))))).alias("t"), F.col("member").alias("member"))
+    return claims, first
+
+
+def _with_support(truth: DataFrame, rel: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """``(truth, sources)`` as ``discover_truth`` gives them."""
+    held = truth.crossJoin(F.broadcast(_row(truth, rel))).select("group_id", "field_name", "value", F.col("best.member").alias("member"), _support().alias("support"))
+    return held, truth.sparkSession.createDataFrame(sorted(rel.items()), "source string, reliability double")
 
 
 def _per_source(values: DataFrame, most: int) -> dict[str, int]:

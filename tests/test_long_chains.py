@@ -62,3 +62,7 @@ def names_no_member(spark, sf, monkeypatch, name):
 
 def test_all_level_group_counts_name_no_member(spark, sf, monkeypatch):
     names_no_member(spark, sf, monkeypatch, "all_level_group_counts")
+
+
+def test_first_small_level_names_no_member(spark, sf, monkeypatch):
+    names_no_member(spark, sf, monkeypatch, "first_small_level")

@@ -66,3 +66,7 @@ def test_all_level_group_counts_name_no_member(spark, sf, monkeypatch):
 
 def test_first_small_level_names_no_member(spark, sf, monkeypatch):
     names_no_member(spark, sf, monkeypatch, "first_small_level")
+
+
+def test_cut_at_count_names_no_member(spark, sf, monkeypatch):
+    names_no_member(spark, sf, monkeypatch, "cut_at_count")

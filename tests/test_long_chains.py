@@ -70,3 +70,12 @@ def test_first_small_level_names_no_member(spark, sf, monkeypatch):
 
 def test_cut_at_count_names_no_member(spark, sf, monkeypatch):
     names_no_member(spark, sf, monkeypatch, "cut_at_count")
+
+
+def test_layouts_of_valleys(spark):
+    forest = graph.spanning_forest(chain(spark), block_edges=40)
+    rooted = graph.rooted_levels(forest)
+    depth = {r.id: r.depth for r in rooted.select("id", "depth").collect()}
+    assert set(depth) == set(ids()) and max(depth.values()) >= 2 * ARM
+    for layout in (graph.tree_layout, graph.radial_layout, graph.hierarchical_layout):
+        assert {r.id for r in layout(rooted).select("id").collect()} == set(ids())

@@ -2,7 +2,7 @@
 
 from functools import partial
 
-from locuslake.operators import cluster, graph, pairs
+from locuslake.operators import cluster, evaluate, graph, pairs
 from locuslake.plans import core_queries
 
 ARM = 80
@@ -79,3 +79,21 @@ def test_layouts_of_valleys(spark):
     assert set(depth) == set(ids()) and max(depth.values()) >= 2 * ARM
     for layout in (graph.tree_layout, graph.radial_layout, graph.hierarchical_layout):
         assert {r.id for r in layout(rooted).select("id").collect()} == set(ids())
+
+
+def test_profiles_in_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "hierarchy", partial(cluster.hierarchy, block_edges=40))
+    rows, now = [], [1] * 64
+    for k, x in enumerate(ids()):
+        for c in range(4):
+            now[(4 * k + c) % 64] = k + 2
+        rows.append((x, list(now)))
+    got = {(r.level, r.sample_idx): r.cluster for r in pairs.profile_hierarchy(spark.createDataFrame(rows, "sample_idx long, alleles array<int>"), [3, 4]).collect()}
+    assert got == {(3, x): x for x in ids()} | {(4, x): 0 for x in ids()}
+
+
+def test_information_of_valleys(spark):
+    nodes = spark.createDataFrame([(x,) for x in ids()], "id long")
+    levels = cluster.hierarchy(chain(spark), nodes, [0, 1, 3], block_edges=40)
+    got = {(r.level1, r.level2): r.nmi for r in evaluate.nested_information(levels).collect()}
+    assert set(got) == {(0, 1), (0, 3), (1, 3)} and got[0, 3] == got[1, 3] == 0.0 and 0.8 < got[0, 1] < 0.999

@@ -81,6 +81,18 @@ def test_layouts_of_valleys(spark):
         assert {r.id for r in layout(rooted).select("id").collect()} == set(ids())
 
 
+def test_leaves_take_no_part_in_the_walk(spark, monkeypatch):
+    walked, real = [], graph.pin
+    monkeypatch.setattr(graph, "pin", lambda df, what="t": [t := real(df, what), what == "walk" and walked.append(t.count())][0])
+    # a star with arms of two, a pair, and a chain
+    edges = [(1, x, 1) for x in range(10, 30)] + [(x, x + 100, 1) for x in range(10, 30)] + [(5, 6, 1)] + [(x, x + 1, 1) for x in range(300, 308)]
+    got = {r.id: (r.parent, r.root, r.depth) for r in graph.rooted_levels(spark.createDataFrame(edges, "u long, v long, w int")).collect()}
+    want = {1: (None, 1, 0), 5: (None, 5, 0), 6: (5, 5, 1), 300: (301, 301, 1), 301: (None, 301, 0)}
+    want |= {x: (1, 1, 1) for x in range(10, 30)} | {x + 100: (x, 1, 2) for x in range(10, 30)} | {x: (x - 1, 301, x - 301) for x in range(302, 309)}
+    assert got == want
+    assert max(walked) <= 16 < 2 * len(edges)
+
+
 def test_profiles_in_a_chain(spark, monkeypatch):
     monkeypatch.setattr(pairs, "hierarchy", partial(cluster.hierarchy, block_edges=40))
     rows, now = [], [1] * 64

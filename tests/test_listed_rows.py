@@ -16,6 +16,10 @@ def test_nmi_levels_takes_pairs_as_listed(spark, sf, monkeypatch):
     takes_pairs_as_listed(spark, sf, monkeypatch, "nmi_levels")
 
 
+def test_nmi_heat_takes_pairs_as_listed(spark, sf, monkeypatch):
+    takes_pairs_as_listed(spark, sf, monkeypatch, "nmi_heat")
+
+
 def test_pairs_listed_twice_give_the_same_levels(spark):
     rows = [(1, 2, 5), (2, 1, 3), (1, 2, 3), (2, 3, 9), (3, 2, 4), (4, 4, 0), (4, 5, -1), (5, 4, None), (None, 5, 1), (6, 5, 7), (5, 6, 8), (6, 1, 20)]
     dist = spark.createDataFrame(rows, "i long, j long, d0 int")
